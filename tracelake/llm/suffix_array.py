@@ -28,62 +28,84 @@ class Windows(Bytes):
     length, gram = LENGTH, 32
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of bytes, and each suffix's rank."""
+def suffix_array(text: np.ndarray, depth: int | None = None, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of bytes, and each suffix's rank.
+
+    With depth, suffixes that share so many bytes stay in any order. With wanted too, only those suffixes are brought to that
+    depth; the others, which only lend their ranks, may stop at half of it.
+    """
     n = len(text)
     padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
     key = np.zeros(n, np.uint64)
     for i in range(7):  # 7 symbols of 9 bits
         key = (key << np.uint64(9)) | padded[i : i + n]
-    array = np.argsort(key, kind="stable")
+    array = np.argsort(key)
     sorted_key = key[array]
     head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    starts = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     rank = np.empty(n, np.int64)
-    rank[array] = starts
+    rank[array] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     h = 7
-    while True:
-        follows = np.append(~head[1:], False)
-        unsorted = np.flatnonzero(~head | follows)  # places in groups of two or more
+    while depth is None or h < depth:
+        unsorted = np.flatnonzero(~head | np.append(~head[1:], False))  # places in groups of two or more
+        if wanted is not None and 2 * h >= depth:  # the last round: whole groups in which a wanted suffix is
+            some = np.zeros(n, bool)
+            some[rank[wanted]] = True
+            unsorted = unsorted[some[rank[array[unsorted]]]]
         if not len(unsorted):
-            return array, rank
+            break
         at = array[unsorted]
         ahead = at + h
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        group = rank[at]
-        order = np.lexsort((second, group))
-        at, second, group = at[order], second[order], group[order]
+        both = rank[at] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        order = np.argsort(both)
+        at, both = at[order], both[order]
         array[unsorted] = at
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
+        new = np.concatenate([[True], both[1:] != both[:-1]])
         head[unsorted] = new
         rank[at] = unsorted[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         h *= 2
+    return array, rank
 
 
-def common_prefixes(text: bytes, array: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Kasai's scan: for each place of the array, the common prefix with the suffix before it."""
-    n = len(text)
-    before = np.full(n, -1, np.int64)
+def common_prefixes(text: bytes, array: np.ndarray, most: int | None = None, rank: np.ndarray | None = None) -> np.ndarray:
+    """Kasai's scan: for each place of an array of suffixes, the common prefix, up to most, with the suffix before it.
+
+    The array may leave suffixes out. Then what a suffix takes over from the one before it in the text holds only if the
+    other's successor is in the array too; else the scan starts anew there. With rank, suffixes of equal rank are known to share
+    most bytes and may be in any order, so that nothing is taken over from them.
+    """
+    before = np.full(len(text) + 1, -1, np.int64)
     before[array[1:]] = array[:-1]
-    out, h = [0] * n, 0
-    for i, j in enumerate(before.tolist()):
+    inside = np.zeros(len(text) + 1, bool)
+    inside[array] = True
+    places = np.flatnonzero(inside)
+    out, h, last, most = [0] * len(places), 0, -2, len(text) if most is None else most
+    tied = np.zeros(len(places), bool) if rank is None else (before[places] >= 0) & (rank[places] == rank[before[places]])
+    carried = (inside[before[places] + 1] & ~tied).tolist()
+    carry = False
+    for k, (i, j, goes_on, tie) in enumerate(zip(places.tolist(), before[places].tolist(), carried, tied.tolist())):
+        h = h - 1 if carry and h > 0 and i == last + 1 else 0
+        last, carry = i, goes_on
         if j < 0:
-            h = 0
+            h, carry = 0, False
+            continue
+        if tie:
+            out[k] = most
             continue
-        if h > 0:
-            h -= 1
-        while True:  # by blocks while whole blocks are equal, then byte by byte
-            a, b = text[i + h : i + h + 64], text[j + h : j + h + 64]
-            if a == b and len(a) == 64:
-                h += 64
+        while h < most:  # by blocks while whole blocks are equal, then byte by byte
+            size = min(64, most - h)
+            a, b = text[i + h : i + h + size], text[j + h : j + h + size]
+            if a == b and len(a) == size:
+                h += size
                 continue
             for x, y in zip(a, b):
                 if x != y:
                     break
                 h += 1
             break
-        out[i] = h
-    return np.array(out, np.int64)[array]
+        out[k] = h
+    found = np.zeros(len(text) + 1, np.int64)
+    found[places] = out
+    return found[array]
 
 
 def occurs_elsewhere(rows: list[dict], length: int = LENGTH) -> list[list[int]]:
@@ -91,8 +113,6 @@ def occurs_elsewhere(rows: list[dict], length: int = LENGTH) -> list[list[int]]:
     data = b"".join(r["content"] for r in rows)
     if not data:
         return [[] for _ in rows]
-    array, rank = suffix_array(np.frombuffer(data, np.uint8))
-    lcp = common_prefixes(data, array, rank)
     sizes = np.array([len(r["content"]) for r in rows])
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -100,11 +120,11 @@ def occurs_elsewhere(rows: list[dict], length: int = LENGTH) -> list[list[int]]:
     np.add.at(window, starts, 1)
     np.add.at(window, starts + np.maximum(0, sizes - length + 1), -1)
     is_window = np.cumsum(window)[:-1] > 0
-    group = np.cumsum(lcp < length)
-    at = array[is_window[array]]
-    group = group[is_window[array]]
+    array, rank = suffix_array(np.frombuffer(data, np.uint8), length, np.flatnonzero(is_window))
+    array = array[is_window[array]]
+    group = np.cumsum(common_prefixes(data, array, length, rank) < length)
     _, inverse, counts = np.unique(group, return_inverse=True, return_counts=True)
-    hits = np.sort(at[counts[inverse] > 1])
+    hits = np.sort(array[counts[inverse] > 1])
     bounds = np.searchsorted(hits, np.append(starts, len(data)))
     return [(hits[a:b] - s).tolist() for a, b, s in zip(bounds[:-1], bounds[1:], starts)]
 
