@@ -14,6 +14,12 @@ from ..plans.tables import cut
 from ..schema import COMMON, COMPARING, EDGE
 
 
+def flip(edges: DataFrame) -> DataFrame:
+    """The edges against their direction."""
+    other = {"src": "dst", "dst": "src"}
+    return edges.select(*(F.col(other.get(c, c)).alias(c) for c in edges.columns))
+
+
 def dedup_edges(edges: DataFrame) -> DataFrame:
     """One edge per (kind, flags, clause, src, dst): least confidence value, masks or-ed, first derivation and place."""
     return edges.groupBy("kind", "flags", "clause", "src", "dst").agg(
@@ -66,7 +72,7 @@ def two_phase(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> Data
     """Context-sensitive reachability (start, v, phase, hop): call edges match, as phase two starts from all that phase one saw."""
     first, second = (EDGE["ARG_IN"], EDGE["RET_OUT"]) if reverse else (EDGE["RET_OUT"], EDGE["ARG_IN"])
     if reverse:
-        edges = edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+        edges = flip(edges)
     one = reach(edges.filter(F.col("kind").isin(*COMMON, first)), seeds)
     two = reach(edges.filter(F.col("kind").isin(*COMMON, second)), one.select("start", "v"))
     both = one.withColumn("phase", F.lit(1)).unionByName(two.filter("hop > 0").withColumn("phase", F.lit(2)))
@@ -82,7 +88,7 @@ def first_visits(edges: DataFrame, seeds: DataFrame, reverse: bool = False, min_
     """
     usable = traversable(edges, min_conf, implicit, control).withColumnRenamed("flags", "cost").withColumnRenamed("conf", "edge_conf").withColumnRenamed("ord", "edge_ord")
     if reverse:
-        usable = usable.withColumnsRenamed({"src": "dst", "dst": "src"})
+        usable = flip(usable)
         usable = usable.withColumn("ends", F.lit(False))
     elif columns is None:
         usable = usable.withColumn("ends", F.lit(False))
