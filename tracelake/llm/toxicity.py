@@ -9,6 +9,7 @@ score DRIFT, below zero.
 statistics with the scores' frequencies in non-toxic documents, a segment of score S in a text of n tokens has E = K n exp(-L S); those
 with E <= SIGNIFICANT are significant. With L S - ln(K n) of the best segment, P = 1 - exp(-E) is the chance of one as good
 in a clean text. The score of a document is calibrated on the sample's labels: a logistic curve over the best segment's normalised score.
+The curve is fitted across folds: each half of the sample is measured by the tokens of the other, so that it holds for new texts.
 
 Defined cases: an empty or null text has no segment and so the lowest score. Labels that are null are ignored. Repeated label rows count
 each. Without labelled rows of both kinds every score is 0. An empty table gives an empty result. Other columns are ignored.
@@ -108,14 +109,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _token_counts(batches):
     for b in batches:
-        for toxic in (0, 1):
-            texts = [t for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()) if y == toxic]
+        rows = list(zip(b.column("text").to_pylist(), b.column("y").to_pylist(), b.column("fold").to_pylist()))
+        for toxic, fold in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            texts = [t for t, y, f in rows if (y, f) == (toxic, fold)]
             n, d = Counter(), Counter()
             for t in texts:
                 words = words_of(t)
                 n.update(words)
                 d.update(set(words))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array([toxic] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([d[w] for w in n], pa.int64())], ["token", "y", "n", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array([toxic] * len(n), pa.int32()), pa.array([fold] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([d[w] for w in n], pa.int64())], ["token", "y", "fold", "n", "d"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> DataFrame:
@@ -125,12 +127,9 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> Dat
     return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model | None:
-    sample = labelled(docs, labels, "toxic", limit)
-    tokens = sample.mapInArrow(_token_counts, "token binary, y int, n long, d long").groupBy("token").agg(
-        *(F.sum(F.when(F.col("y") == y, F.col(c)).otherwise(0)).alias(f"{c}{y}") for c in ("n", "d") for y in (0, 1))
-    )
-    tokens = cut(tokens)
+def fit(tokens: DataFrame, folds: tuple[int, ...]) -> Model | None:
+    """A model, not yet calibrated, from the tokens (token, y, fold, n, d) of the given folds."""
+    tokens = tokens.filter(F.col("fold").isin(*folds)).groupBy("token").agg(*(F.sum(F.when(F.col("y") == y, F.col(c)).otherwise(0)).alias(f"{c}{y}") for c in ("n", "d") for y in (0, 1)))
     all0, docs0, docs1 = tokens.agg(F.sum("n0"), F.sum("d0"), F.sum("d1")).first()
     if not docs0 or not docs1:
         return None
@@ -144,12 +143,22 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     values = np.array([DRIFT, *scores.values()])
     seen = np.array([0.0, *(r.n0 + 0.5 for r in rows)])
     seen[0] = all0 - seen.sum()
-    shares = seen / seen.sum()
-    model = Model(scores, _rate(values, shares), 0.1, 1.0, 0.0)
+    return Model(scores, _rate(values, seen / seen.sum()), 0.1, 1.0, 0.0)
+
+
+def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model | None:
+    sample = labelled(docs, labels, "toxic", limit).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
+    tokens = cut(sample.mapInArrow(_token_counts, "token binary, y int, fold int, n long, d long").groupBy("token", "y", "fold").agg(F.sum("n").alias("n"), F.sum("d").alias("d")))
+    model = fit(tokens, (0, 1))
+    if model is None:
+        return None
+    halves = [fit(tokens, (1,)), fit(tokens, (0,))]
+    measures = halves if all(halves) else [model, model]  # a half of one kind only measures nothing
 
     def measure(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([model.normalised(t)[0] for t in b.column("text").to_pylist()], pa.float64()), b.column("y")], ["x", "y"])
+            rows = zip(b.column("text").to_pylist(), b.column("fold").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([measures[f].normalised(t)[0] for t, f in rows], pa.float64()), b.column("y")], ["x", "y"])
 
     points = sample.mapInArrow(measure, "x double, y int").toPandas()
     model.slope, model.offset = _logistic(points.x.to_numpy(), points.y.to_numpy(dtype=np.float64))
