@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from ._common import LOWER, cut, discard, table, with_row_ids
 
 SHINGLE, RADIUS, HOT, SEED = 3, 2, 512, 42
@@ -122,9 +123,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, hot: int = HOT) -> Dat
     return fps.join(known, "fp")
 
 
-def keep_one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The documents that have the smallest doc_id of their near-duplicate group; of repeated rows one stays."""
-    found = near_duplicates(docs, size)
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that have the smallest doc_id of their group of near copies; of repeated rows one stays."""
+    keyed = with_row_ids(docs, "text")
+    found = near_copies.groups(keyed).join(keyed.select("rid", "doc_id"), "rid")
     firsts = found.filter(F.col("rid") == F.col("first")).select(F.col("doc_id").alias("_kept"))
     kept = docs.join(firsts, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
     n, distinct = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
