@@ -75,6 +75,15 @@ def with_row_ids(docs: DataFrame, *columns: str) -> DataFrame:
     return cut(ranged.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *columns))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """All columns of docs, and _rid long as the rid of with_row_ids."""
+    n, whole, distinct = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == whole == distinct:
+        return docs.withColumn("_rid", F.col("doc_id").cast("long"))
+    ranged = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    return cut(ranged.withColumn("_rid", F.monotonically_increasing_id()))
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1, F.lit(False))
 

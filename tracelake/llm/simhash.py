@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from ._common import LOWER, cut, discard, table, with_row_ids
+from ._common import LOWER, cut, discard, numbered, table, with_row_ids
 
 SHINGLE, RADIUS, HOT, SEED = 3, 2, 512, 42
 
@@ -125,12 +125,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, hot: int = HOT) -> Dat
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that have the smallest doc_id of their group of near copies; of repeated rows one stays."""
-    keyed = with_row_ids(docs, "text")
-    found = near_copies.groups(keyed).join(keyed.select("rid", "doc_id"), "rid")
-    firsts = found.filter(F.col("rid") == F.col("first")).select(F.col("doc_id").alias("_kept"))
-    kept = docs.join(firsts, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
-    n, distinct = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    return kept if n == distinct else kept.dropDuplicates(["doc_id"])
+    rows = numbered(docs)
+    firsts = near_copies.groups(rows.select(F.col("_rid").alias("rid"), "text")).filter("rid = first").select(F.col("rid").alias("_rid"))
+    return rows.join(firsts, "_rid", "left_semi").select(docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
