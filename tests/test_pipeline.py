@@ -1,0 +1,69 @@
+"""The pipeline's stages and run() against brute force, with null and repeated ids."""
+
+import random
+
+import corpus_pipeline
+
+
+def uncovered(texts, length=400):
+    """Each text without what strings of length bytes that start elsewhere too cover; None where nothing is covered."""
+    data, seen = [(t or "").encode() for t in texts], {}
+    for i, s in enumerate(data):
+        for k in range(len(s) - length + 1):
+            seen.setdefault(s[k : k + length], []).append((i, k))
+    gone = [bytearray(len(s)) for s in data]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, k in places:
+                gone[i][k : k + length] = b"\1" * length
+    return [bytes(b for b, g in zip(s, gs) if not g).decode("utf-8", "ignore") if any(gs) else None for s, gs in zip(data, gone)]
+
+
+def sample():
+    rng = random.Random(11)
+    words = [f"w{i}é" for i in range(4000)]
+    passage = " ".join(rng.choice(words) for _ in range(100))
+    texts = []
+    for i in range(40):
+        own = " ".join(rng.choice(words) for _ in range(rng.randint(80, 200)))
+        texts.append(own + (" " + passage if i % 3 else ""))
+    texts += [passage, "  " + passage, None, ""]
+    return [(None if i % 3 == 0 else i // 4, t, "en", f"s{i % 2}", len(t or ""), i) for i, t in enumerate(texts)]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, extra int"
+
+
+def cleaned(rows):
+    out = []
+    for r, kept in zip(rows, uncovered([r[1] for r in rows])):
+        if kept is None:
+            out.append(r)
+        elif kept.strip(" "):
+            out.append((r[0], kept, r[2], r[3], len(kept), r[5]))
+    return out
+
+
+def test_cut_repeats_brute_force(spark):
+    rows = sample()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = corpus_pipeline.cut_repeats(spark, docs, "")
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[5]) == cleaned(rows)
+
+
+def test_run_with_null_and_repeated_ids(spark, tmp_path, monkeypatch):
+    """No labels: quality keeps all. A leak and an exact copy go; the sizes that are mixed are those of the cut texts."""
+    rows = [r for r in sample() if r[1]]
+    rows.append((3, rows[0][1], "en", "s0", 0, 98))
+    rows.append((None, "the item asked about seven green boats on the old river today", "en", "s1", 0, 99))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, rows[-1][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    good = {tuple(r) for r in corpus_pipeline.keep_good_text(spark, docs, str(tmp_path)).collect()}
+    assert good == set(rows)
+    want = cleaned([r for r in rows[:-1] if r[5] != 0])  # of the copies that with an id stays
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, r.size) for r in found), key=key) == sorted(((r[0], len(r[1].split())) for r in want), key=key)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import numbered, table
 from ._repeats import Bytes, remove_repeats
 
 LENGTH = 400
@@ -142,11 +142,11 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs without the repeated text, and without documents of which only white space is left; n_chars, if there, follows the text.
 
-    Rows whose doc_id is null or repeated are told apart by their text.
+    Rows whose doc_id is null or repeated are told apart by their number.
     """
-    found = deduplicate(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept", "n_removed")
-    rest = docs.join(found.dropDuplicates(["_id", "kept"]), docs.doc_id.eqNullSafe(F.col("_id")), "left")
-    out = rest.filter(F.col("kept").isNull() | (F.trim("kept") != "")).withColumn("text", F.coalesce("kept", "text"))
+    rows = numbered(docs)
+    found = deduplicate(rows.select(F.col("_rid").alias("doc_id"), "text")).filter("n_removed > 0").select(F.col("doc_id").alias("_rid"), "kept")
+    out = rows.join(found, "_rid", "left").filter(F.col("kept").isNull() | (F.trim("kept") != "")).withColumn("text", F.coalesce("kept", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)
