@@ -1,7 +1,7 @@
 """Exact top-k search by inner product, in three phases with a uniform threshold.
 
 Vectors are whole numbers; a score is the sum of the partial scores of SLICES slices of the dimensions. Queries are taken in
-blocks of at most BLOCK rows, which alone are broadcast; each block is answered against all rows where these lie, without moving them.
+blocks of at most BLOCK rows, which alone are broadcast; each block is answered against all rows where these lie; only if ids repeat are rows moved before, to drop copies.
 
 1. *Gather.* Each task keeps, per query, the list of its k best scores. The lists are merged in two steps by query; the k-th best of
    all is a safe cutoff: no row below it can be among the k best.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import share, table
+from ._common import cut, share, table
 
 K, EVERY, BLOCK, SLICES, GROUPS, ROWS = 20, 20, 4096, 2, 64, 2048
 
@@ -75,6 +75,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     spark = rows.sparkSession
     keep = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null and embedding is not null")
     rows, queries = keep(rows), keep(queries)
+    rows, queries = _once(rows), _once(queries)
     n = queries.count()
     blocks, out = max(1, -(-n * 5 // (BLOCK * 4))), None
     for block in range(blocks):
@@ -83,7 +84,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         found = _search(spark, rows, ids, vectors, k)
         out = found if out is None else out.union(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """Rows repeated in full once; they are moved only if an id repeats."""
+    n, distinct = df.agg(F.count(F.lit(1)), F.count_distinct("vec_id")).first()
+    return df if n == distinct else cut(df.distinct())
 
 
 def _collected(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +144,7 @@ def _search(spark: SparkSession, rows: DataFrame, ids: np.ndarray, vectors: np.n
             even = np.flatnonzero(score == cut[q])
             even = even[np.lexsort((row_ids[r[even]], q[even]))]
             for j, ids_of in zip(*_grouped(q[even], row_ids[r[even]])):
-                ties[j] = np.unique(np.concatenate([ties.get(j, ids_of[:0]), ids_of]))[:k]
+                ties[j] = np.sort(np.concatenate([ties.get(j, ids_of[:0]), ids_of]))[:k]
         if ties:
             sizes = [len(x) for x in ties.values()]
             at = np.repeat(list(ties), sizes)
