@@ -4,7 +4,7 @@ The whole page is read into a tree by a tolerant scanner: quoted attributes may
 their own end tag, paragraphs and list items end where HTML ends them, and stray end tags are ignored. Elements that hold no article
 text by their tag, role or class are left out. Each paragraph passes points (one, its commas, and one for each 100 characters, three
 at most) to its parent in full, to the next ancestor by half and to the further ones by less; a container's points, with a bonus by tag, are
-discounted by its link density. The best container is kept, with those of its siblings that have a fifth of its points or are
+discounted by its link density. The best container, or the nearest article or main element around it, is kept whole, with those of its siblings that have a fifth of its points or are
 long paragraphs with few links. Without any paragraph, the text of the whole page outside the left-out elements is kept.
 
 Character references are decoded, white space inside a block is one space, and blocks are joined by one space.
@@ -214,6 +214,10 @@ def main_text(page: str | None) -> str:
                 best, most = x, x.points
     if best is None:
         return " ".join(blocks(root))
+    x = best
+    while x is not None and x.tag not in ("article", "main"):
+        x = x.parent
+    best = best if x is None else x
     if best.parent is None:
         return " ".join(blocks(best))
     kept = []
