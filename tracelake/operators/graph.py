@@ -62,9 +62,12 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         hop += 1
         step = frontier.filter(~F.col("terminal")).join(edges, F.col("v") == F.col("src")).select("start", F.col("dst").alias("v"), (F.col("terminal") if not has_end else edges.terminal).alias("terminal"))
         new = step.groupBy("start", "v").agg(F.min("terminal").alias("terminal"))
-        frontier = cut(new.join(seen, ["start", "v"], "left_anti").select("start", "v", F.lit(hop).alias("hop"), "terminal"))
+        n, s = new.alias("n"), seen.alias("s")
+        same = (F.col("n.start") == F.col("s.start")) & (F.col("n.v") == F.col("s.v"))
+        known = same & (~F.col("s.terminal") | F.col("n.terminal")) if has_end else same  # a node seen as terminal is opened again once
+        frontier = cut(n.join(s, known, "left_anti").select("start", "v", F.lit(hop).alias("hop"), "terminal"))
         if frontier.limit(1).count() == 0:
-            return seen
+            return seen.groupBy("start", "v").agg(F.min("hop").alias("hop"), F.min("terminal").alias("terminal")).select("start", "v", "hop", "terminal") if has_end else seen
         seen = seen.unionByName(frontier)
 
 
