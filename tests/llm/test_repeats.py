@@ -31,6 +31,7 @@ def test_windows_of_pieces(seed):
             seen.setdefault(r["content"][i : i + 5], []).append((k, i))
     want = [sorted(i for v in seen.values() if len(v) > 1 for kk, i in v if kk == k) for k in range(len(rows))]
     assert suffix_array.occurs_elsewhere(rows, 5) == want
+    assert suffix_array.occurs_earlier(rows, 5) == [sorted(i for v in seen.values() for kk, i in v[1:] if kk == k) for k in range(len(rows))]
 
 
 @pytest.mark.parametrize("seed", range(30))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 #: Rows of a table that may be broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 20_000
@@ -26,12 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is made only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Only on a local master, where both run on one machine, is one made if neither is set; elsewhere that is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tracelake-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -67,21 +74,28 @@ def with_row_ids(docs: DataFrame, *columns: str) -> DataFrame:
     Where doc_id is whole and unique it serves as rid. Otherwise (nulls, repeated rows) the rows are sorted by
     doc_id, nulls last, then by the other columns, and numbered once in a table in the shared folder.
     """
-    keep = docs.select("doc_id", *columns)
-    n, whole, distinct = keep.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
-    if n == whole == distinct:
-        return keep.select(F.col("doc_id").cast("long").alias("rid"), "doc_id", *columns)
-    ranged = keep.orderBy(F.col("doc_id").asc_nulls_last(), *columns)
-    return cut(ranged.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *columns))
+    return numbered(docs.select("doc_id", *columns), "rid").select("rid", "doc_id", *columns)
+
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or name followed by as many underscores as make it differ from every column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """All columns of docs, and _rid long as the rid of with_row_ids."""
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """All columns of docs, and a long called name: unique, in order of doc_id (nulls last), then of the other columns.
+
+    Rows that are equal in full are told apart by where they are read, so that a row repeated very often is sorted by many tasks.
+    """
     n, whole, distinct = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if n == whole == distinct:
-        return docs.withColumn("_rid", F.col("doc_id").cast("long"))
-    ranged = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    return cut(ranged.withColumn("_rid", F.monotonically_increasing_id()))
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id" and isinstance(docs.schema[c].dataType, AtomicType)]
+    ranged = docs.withColumn(name, F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), *others, name)
+    return cut(ranged.withColumn(name, F.monotonically_increasing_id()))
 
 
 def held_out(doc_id) -> F.Column:

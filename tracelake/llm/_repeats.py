@@ -10,7 +10,7 @@ A window is LENGTH consecutive symbols (bytes or words) of one document. The ste
    passage that a third of all documents share costs a row per task.
 3. *Shards.* Different pieces with the same anchor may still share some windows. One copy of each is sent, by its anchor,
    to a shard of bounded size, where an index (a suffix array or a suffix automaton) finds the shared windows exactly. An
-   anchor with more than CROWD different pieces isn't sent to one shard: its windows are first grouped in blocks of 16 offsets
+   anchor with more than CROWD different pieces or CROWD_BYTES of them isn't sent to one shard: its windows are first grouped in blocks of 16 offsets
    from the anchor by the hash of the symbols that all windows of a block have in common, and the windows of blocks that
    repeat are then matched one by one by their 128-bit hashes; both are plain counts by key.
 4. The decisions are joined back to the pieces, gathered by document and applied to the text.
@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 
 from ._common import cut, pieces_of, with_row_ids
 
-CROWD = 2048
-SHARD_BYTES = 2_000_000
+#: An anchor with more different pieces, or with more bytes of them, isn't sent to one shard.
+CROWD, CROWD_BYTES = 512, 1_000_000
+SHARD_BYTES = 500_000
+#: The most keys that a join broadcasts because very many rows have them, and the fewest rows of such a key.
+HOT_KEYS, LEAST_HOT = 10_000, 1_000
 BLOCK = 16
 
 
@@ -269,6 +272,21 @@ def _apply(kind: type[Symbols], with_text: bool):
     return run, "rid long, n_removed long, n_spans long, kept_sha string, kept string"
 
 
+def _matched(rows: DataFrame, known: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined by keys with known(keys, c, ...), where c is the number of rows that have the key.
+
+    Keys with more than a share of 1 / HOT_KEYS of all rows, of which there can be no more than HOT_KEYS, are broadcast; their rows
+    stay where they are. No key of the rest has enough rows to weigh on a task.
+    """
+    total = known.agg(F.sum("c")).first()[0] or 0
+    known = known.withColumn("hot", F.col("c") > max(LEAST_HOT, total // HOT_KEYS))
+    hot = F.broadcast(known.filter("hot").drop("hot", "c"))
+    if known.filter("hot").limit(1).count() == 0:
+        return rows.join(known.drop("hot", "c"), keys, how)
+    rest = rows.join(F.broadcast(known.filter("hot").select(*keys)), keys, "left_anti")
+    return rest.join(known.filter("not hot").drop("hot", "c"), keys, how).union(rows.join(hot, keys, how))
+
+
 def remove_repeats(docs: DataFrame, kind: type[Symbols], find, keep_first: bool, with_text: bool = False, crowd: int = CROWD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs(doc_id, text) to (rid, doc_id, n, n_removed, n_spans, kept_sha, kept).
 
@@ -278,30 +296,36 @@ def remove_repeats(docs: DataFrame, kind: type[Symbols], find, keep_first: bool,
     """
     keyed = with_row_ids(docs, "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     base = cut(keyed.mapInArrow(*_scan(kind)))
-    anchors = base.select("rid", F.explode(F.arrays_zip("vs", "cs")).alias("x")).select("rid", F.col("x.vs").alias("v"), F.col("x.cs").alias("c"))
-    repeated = anchors.groupBy("v").agg(F.sum("c").alias("c")).filter("c > 1").select("v")
-    lists = anchors.select("rid", "v").join(repeated, "v", "left_semi").groupBy("rid").agg(F.collect_list("v").alias("vs"))
+    anchors = base.select("rid", F.explode(F.arrays_zip("vs", "cs")).alias("x")).select("rid", F.col("x.vs").alias("v"), F.col("x.cs").alias("places"))
+    repeated = cut(anchors.groupBy("v").agg(F.sum("places").alias("places"), F.count(F.lit(1)).alias("c")).filter("places > 1").select("v", "c"))
+    lists = _matched(anchors.select("rid", "v"), repeated, ["v"], "left_semi").groupBy("rid").agg(F.collect_list("v").alias("vs"))
     cand = cut(keyed.select("rid", "text").join(lists, "rid").mapInArrow(*_cut_pieces(kind)))
     pieces = cand.select("rid", F.explode("pieces").alias("p")).select("rid", "p.*")
     kinds = cut(
         pieces.groupBy("v", "ph").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "s")).alias("first"), F.max("own").alias("own"), F.max("nw").alias("nw"), F.max("size").alias("size"))
     )
     open_ = "true" if keep_first else "alone = 1"
-    groups = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("nd"), F.max("own").alias("any_own"), F.min("n").alias("alone")).filter(f"(nd > 1 or any_own) and {open_}")
-    need = cut(kinds.join(groups.select("v", "nd"), "v").select("v", "ph", "n", "first.*", "nw", "size", "nd"))
-    plain_bytes = need.filter(F.col("nd") <= crowd).agg(F.sum("size")).first()[0] or 0
+    groups = kinds.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("any_own"), F.min("n").alias("alone"), F.sum("size").alias("bytes")).filter(f"(c > 1 or any_own) and {open_}")
+    groups = groups.withColumn("crowded", (F.col("c") > crowd) | (F.col("bytes") > CROWD_BYTES))
+    need = cut(_matched(kinds, groups.select("v", "c", "crowded"), ["v"]).select("v", "ph", "n", "first.*", "nw", "size", "crowded"))
+    plain_bytes = need.filter("not crowded").agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-int(plain_bytes) // shard_bytes))
-    shard = F.when(F.col("nd") > crowd, F.lit(-1)).otherwise(F.pmod(F.xxhash64("v"), F.lit(shards)))
+    shard = F.when(F.col("crowded"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("v"), F.lit(shards)))
     wanted = need.groupBy("rid").agg(F.collect_list(F.struct(shard.cast("long").alias("shard"), "v", "ph", "rid", "s", "nw")).alias("wanted"))
     contents = cut(cand.select("rid", "text").join(wanted, "rid").select("text", "wanted").mapInArrow(*_contents(kind)))
     run, schema = _shard(find)
     found = contents.filter("shard >= 0").groupBy("shard").applyInArrow(run, schema).filter("size(offs) > 0")
-    if need.filter(F.col("nd") > crowd).limit(1).count():
+    if need.filter("crowded").limit(1).count():
         found = found.union(_crowded(contents.filter("shard < 0"), kind, need, keep_first))
-    known = kinds.select("v", "ph", "n", "first").join(found, ["v", "ph"], "left")
-    every = (F.col("first.rid") != F.col("rid")) | (F.col("first.s") != F.col("s")) if keep_first else F.col("n") > 1
-    marked = pieces.join(known, ["v", "ph"]).select("rid", F.struct("s", "nw", every.alias("all"), F.when(~every, F.col("offs")).alias("offs")).alias("g"))
-    gone = marked.filter("g.all or g.offs is not null").groupBy("rid").agg(F.collect_list("g").alias("gone"))
+    # Whole pieces go where their content stands before (or elsewhere), windows from the one copy of a piece that remains.
+    copies = kinds.filter("n > 1").select("v", "ph", F.col("n").alias("c"), "first")
+    copies = _matched(pieces, copies, ["v", "ph"])
+    if keep_first:
+        copies = copies.filter((F.col("first.rid") != F.col("rid")) | (F.col("first.s") != F.col("s")))
+    whole = copies.select("rid", F.struct("s", "nw", F.lit(True).alias("all"), F.lit(None).cast("array<int>").alias("offs")).alias("g"))
+    single = (kinds if keep_first else kinds.filter("n = 1")).select("v", "ph", "first.*", "nw")
+    some = single.join(found, ["v", "ph"]).select("rid", F.struct("s", "nw", F.lit(False).alias("all"), "offs").alias("g"))
+    gone = whole.union(some).groupBy("rid").agg(F.collect_list("g").alias("gone"))
     done = cand.select("rid", "text").join(gone, "rid").mapInArrow(*_apply(kind, with_text))
     return base.select("rid", "doc_id", "n", "sha").join(done, "rid", "left").select(
         "rid", "doc_id", "n", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha"), "kept"
@@ -311,10 +335,12 @@ def remove_repeats(docs: DataFrame, kind: type[Symbols], find, keep_first: bool,
 def _crowded(contents: DataFrame, kind: type[Symbols], need: DataFrame, keep_first: bool) -> DataFrame:
     """The repeated windows of pieces whose anchor has too many different ones for a shard: (v, ph, offs)."""
     blocks = cut(contents.select("v", "ph", "rid", "s", "nw", "content").mapInArrow(*_blocks(kind)))
-    again = blocks.groupBy("v", "key").count().filter("count > 1").select("v", "key")
-    spread = blocks.join(again, ["v", "key"], "left_semi").select("v", "ph", "rid", "first", F.posexplode("windows").alias("i", "w"))
+    again = blocks.groupBy("v", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    spread = _matched(blocks, again, ["v", "key"], "left_semi").select("v", "ph", "rid", "first", F.posexplode("windows").alias("i", "w"))
     windows = cut(spread.select("v", "ph", "w", "rid", (F.col("first") + F.col("i")).alias("at")))
     whole = windows.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "at")).alias("least")).filter("c > 1")
-    hit = windows.join(whole, ["v", "w"]).filter("least.rid <> rid or least.at <> at" if keep_first else "c > 1")
-    starts = need.select("v", "ph", "s")
+    hit = _matched(windows, whole, ["v", "w"])
+    if keep_first:
+        hit = hit.filter("least.rid <> rid or least.at <> at")
+    starts = need.filter("crowded").select("v", "ph", "s")
     return hit.join(starts, ["v", "ph"]).groupBy("v", "ph").agg(F.collect_set((F.col("at") - F.col("s")).cast("int")).alias("offs"))

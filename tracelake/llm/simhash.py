@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from ._common import LOWER, cut, discard, numbered, table, with_row_ids
+from ._common import LOWER, cut, discard, free_name, numbered, table, with_row_ids
 
 SHINGLE, RADIUS, HOT, SEED = 3, 2, 512, 42
 
@@ -125,9 +125,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, hot: int = HOT) -> Dat
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that have the smallest doc_id of their group of near copies; of repeated rows one stays."""
-    rows = numbered(docs)
-    firsts = near_copies.groups(rows.select(F.col("_rid").alias("rid"), "text")).filter("rid = first").select(F.col("rid").alias("_rid"))
-    return rows.join(firsts, "_rid", "left_semi").select(docs.columns)
+    rid = free_name(docs, "_rid")
+    rows = numbered(docs, rid)
+    firsts = near_copies.groups(rows.select(F.col(rid).alias("rid"), "text")).filter("rid = first").select(F.col("rid").alias(rid))
+    return rows.join(firsts, rid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

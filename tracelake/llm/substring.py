@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
-from ._repeats import Words, remove_repeats
+from ._repeats import CROWD, Words, remove_repeats
 
 LENGTH = 20
 
@@ -100,7 +100,7 @@ def seen_before(rows: list[dict], length: int = LENGTH) -> list[list[int]]:
     return out
 
 
-def deduplicate(docs: DataFrame, with_text: bool = True, crowd: int = 2048) -> DataFrame:
+def deduplicate(docs: DataFrame, with_text: bool = True, crowd: int = CROWD) -> DataFrame:
     """docs(doc_id, text) to (rid, doc_id, n, n_removed, n_spans, kept_sha, kept); kept is null where nothing is removed."""
     return remove_repeats(docs, Windows, seen_before, keep_first=True, with_text=with_text, crowd=crowd)
 

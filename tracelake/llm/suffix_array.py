@@ -1,7 +1,7 @@
 """Substring deduplication by suffix arrays over bytes.
 
 Every byte covered by a LENGTH-byte string that also starts anywhere else, in the same document or another, is removed; strings are
-judged on the input. What may repeat is found and dealt to shards of bounded size as in _repeats. A shard's suffix array is
+judged on the input. The pipeline's form, cut_repeats, takes strings of PASSAGE bytes and leaves the first copy of each. What may repeat is found and dealt to shards of bounded size as in _repeats. A shard's suffix array is
 made by Larsson-Sadakane refinement (only groups of suffixes that are still equal are sorted again, by the ranks twice as far
 on), common prefixes by Kasai's scan; runs with common prefixes of LENGTH bytes are the repeats. Shards are dealt by anchor, so
 that equal strings always meet in one shard and no string needs a search in another's array; only what is too much
@@ -18,16 +18,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import numbered, table
-from ._repeats import Bytes, remove_repeats
+from ._common import free_name, numbered, table
+from ._repeats import CROWD, Bytes, remove_repeats
 
 LENGTH = 400
+#: For the pipeline: passages of over 50 words are longer than this in any language written in words (four letters and a space each).
+PASSAGE = 200
 
 
 class Windows(Bytes):
     length, gram = LENGTH, 32
 
 
+class Passages(Bytes):
+    length, gram = PASSAGE, 32
+
+
 def suffix_array(text: np.ndarray, depth: int | None = None, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of bytes, and each suffix's rank.
 
@@ -108,8 +114,7 @@ def common_prefixes(text: bytes, array: np.ndarray, most: int | None = None, ran
     return found[array]
 
 
-def occurs_elsewhere(rows: list[dict], length: int = LENGTH) -> list[list[int]]:
-    """For each piece, the offsets of the windows that another piece, or another place of it, has."""
+def _hits(rows: list[dict], length: int, keep_first: bool) -> list[list[int]]:
     data = b"".join(r["content"] for r in rows)
     if not data:
         return [[] for _ in rows]
@@ -122,15 +127,37 @@ def occurs_elsewhere(rows: list[dict], length: int = LENGTH) -> list[list[int]]:
     is_window = np.cumsum(window)[:-1] > 0
     array, rank = suffix_array(np.frombuffer(data, np.uint8), length, np.flatnonzero(is_window))
     array = array[is_window[array]]
-    group = np.cumsum(common_prefixes(data, array, length, rank) < length)
-    _, inverse, counts = np.unique(group, return_inverse=True, return_counts=True)
-    hits = np.sort(array[counts[inverse] > 1])
+    if not len(array):
+        return [[] for _ in rows]
+    heads = common_prefixes(data, array, length, rank) < length
+    heads[0] = True
+    group = np.cumsum(heads) - 1
+    if keep_first:
+        hits = array[array != np.minimum.reduceat(array, np.flatnonzero(heads))[group]]
+    else:
+        hits = array[np.bincount(group)[group] > 1]
+    hits = np.sort(hits)
     bounds = np.searchsorted(hits, np.append(starts, len(data)))
     return [(hits[a:b] - s).tolist() for a, b, s in zip(bounds[:-1], bounds[1:], starts)]
 
 
-def deduplicate(docs: DataFrame, with_text: bool = True, crowd: int = 2048) -> DataFrame:
-    """docs(doc_id, text) to (rid, doc_id, n, n_removed, n_spans, kept_sha, kept); kept is null where nothing is removed."""
+def occurs_elsewhere(rows: list[dict], length: int = LENGTH) -> list[list[int]]:
+    """For each piece, the offsets of the windows that another piece, or another place of it, has."""
+    return _hits(rows, length, keep_first=False)
+
+
+def occurs_earlier(rows: list[dict], length: int = PASSAGE) -> list[list[int]]:
+    """For each piece, the offsets of the windows that a piece before it, or an earlier place of it, has."""
+    return _hits(rows, length, keep_first=True)
+
+
+def deduplicate(docs: DataFrame, with_text: bool = True, crowd: int = CROWD, keep_first: bool = False) -> DataFrame:
+    """docs(doc_id, text) to (rid, doc_id, n, n_removed, n_spans, kept_sha, kept); kept is null where nothing is removed.
+
+    Strings of LENGTH bytes lose every copy. With keep_first, strings of PASSAGE bytes lose every copy but the first, by doc_id and place.
+    """
+    if keep_first:
+        return remove_repeats(docs, Passages, occurs_earlier, keep_first=True, with_text=with_text, crowd=crowd)
     return remove_repeats(docs, Windows, occurs_elsewhere, keep_first=False, with_text=with_text, crowd=crowd)
 
 
@@ -140,13 +167,20 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """docs without the repeated text, and without documents of which only white space is left; n_chars, if there, follows the text.
+    """docs without what strings of PASSAGE bytes cover that start earlier too; the first copy of a passage stays.
 
-    Rows whose doc_id is null or repeated are told apart by their number.
+    Earlier is: in a document with a smaller doc_id, or before in the same one. Documents of which only white space is left go;
+    n_chars, if there, follows the text. Rows whose doc_id is null (last) or repeated are told apart by their number. Other columns
+    may have any names.
     """
-    rows = numbered(docs)
-    found = deduplicate(rows.select(F.col("_rid").alias("doc_id"), "text")).filter("n_removed > 0").select(F.col("doc_id").alias("_rid"), "kept")
-    out = rows.join(found, "_rid", "left").filter(F.col("kept").isNull() | (F.trim("kept") != "")).withColumn("text", F.coalesce("kept", "text"))
+    rid = free_name(docs, "_rid")
+    rows = numbered(docs, rid)
+    found = deduplicate(rows.select(F.col(rid).alias("doc_id"), "text"), keep_first=True).filter("n_removed > 0")
+    left = free_name(docs, "_kept")
+    found = found.select(F.col("doc_id").alias(rid), F.col("kept").alias(left))
+    was, now = F.col("text"), F.col(left)
+    out = rows.join(found, rid, "left").filter(now.isNull() | now.rlike(r"[^\x09-\x0D\x20]"))
+    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.coalesce(now, was)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        columns["n_chars"] = F.when(now.isNull(), F.col("n_chars")).otherwise(F.length(now).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(x.alias(c) for c, x in columns.items()))
