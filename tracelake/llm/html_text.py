@@ -1,6 +1,6 @@
 """Main text of web pages by tree scoring.
 
-The whole page is read into a tree by a tolerant scanner: quoted attributes may hold `>`, raw elements (script, style, ...) end only at
+The whole page is read into a tree by a tolerant scanner in time linear in its length: quoted attributes may hold `>`, raw elements (script, style, ...) end only at
 their own end tag, paragraphs and list items end where HTML ends them, and stray end tags are ignored. Elements that hold no article
 text by their tag, role or class are left out. Each paragraph passes points (one, its commas, and one for each 100 characters, three
 at most) to its parent in full, to the next ancestor by half and to the further ones by less; a container's points, with a bonus by tag, are
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+SPECIAL = re.compile(r"['\">]")
+LONG_NUMBER = re.compile(r"&#[0-9]{4000,};?")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math object canvas".split())
@@ -44,11 +46,50 @@ SCOPE = frozenset("ul ol dl table article section div main body html td th aside
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "points", "chars", "linked", "head", "paragraph")
+    __slots__ = ("tag", "parent", "children", "out", "points", "chars", "linked", "commas", "head", "paragraph")
 
     def __init__(self, tag: str, parent: "Node | None", out: bool = False, head: bool = False):
         self.tag, self.parent, self.children, self.out, self.head = tag, parent, [], out, head
-        self.points, self.chars, self.linked, self.paragraph = 0.0, 0, 0, False
+        self.points, self.chars, self.linked, self.commas, self.paragraph = 0.0, 0, 0, 0, False
+
+
+class Scanner:
+    """Where tags end. Each part of the page is looked at a fixed number of times, however many tags never end."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.hopeless: set[int] = set()  # places outside quotes from which no tag end is reached
+        self.seen = (0, -1)  # from where to where no quote and no > is
+        self.gone: set[str] = set()  # quotes that don't occur any more
+
+    def _special(self, at: int) -> int:
+        if not self.seen[0] <= at <= self.seen[1]:
+            m = SPECIAL.search(self.page, at)
+            self.seen = (at, m.start() if m else len(self.page))
+        return self.seen[1]
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose attributes begin at a place; -1 if there is none."""
+        if at > self.last:
+            return -1
+        passed, i = [], at
+        while True:
+            i = self._special(i)
+            if i >= len(self.page):
+                break
+            quote = self.page[i]
+            if quote == ">":
+                return i
+            close = -1 if quote in self.gone else self.page.find(quote, i + 1)
+            if close < 0:
+                self.gone.add(quote)
+                break
+            i = close + 1
+            if i in self.hopeless:
+                break
+            passed.append(i)
+        self.hopeless.update(passed)
+        return self.page.find(">", at)  # quotes that aren't closed don't count
 
 
 def _words(value: str) -> set[str]:
@@ -73,71 +114,97 @@ def _left_out(tag: str, attributes: str) -> tuple[bool, bool]:
     return bool(names & LEFT_OUT_WORDS), head or "header" in names
 
 
+class Tree:
+    """A page's elements; the open ones are on a stack, and for each tag and scope it is known which of them is the last."""
+
+    def __init__(self):
+        self.root = Node("#root", None)
+        self.open, self.by_tag, self.scopes, self.outer = [self.root], {}, [0], [0]
+
+    @property
+    def at(self) -> Node:
+        return self.open[-1]
+
+    def last(self, tag: str) -> int:
+        places = self.by_tag.get(tag)
+        return places[-1] if places else -1
+
+    def close_from(self, place: int) -> None:
+        """Closes the element at a place of the stack and all in it."""
+        while len(self.open) > place:
+            self.by_tag[self.open.pop().tag].pop()
+            for scopes in (self.scopes, self.outer):
+                if scopes[-1] == len(self.open):
+                    scopes.pop()
+
+    def add(self, node: Node, stays_open: bool) -> None:
+        self.at.children.append(node)
+        if stays_open:
+            place = len(self.open)
+            self.by_tag.setdefault(node.tag, []).append(place)
+            if node.tag in SCOPE:
+                self.scopes.append(place)
+                if node.tag not in ("td", "th"):
+                    self.outer.append(place)
+            self.open.append(node)
+
+
 def parse(page: str) -> Node:
-    root = at = Node("#root", None)
+    tree, scan = Tree(), Scanner(page)
     pos, n = 0, len(page)
     while pos < n:
-        m = TAG.search(page, pos)
-        if not m:
-            at.children.append(page[pos:])
+        start = page.find("<", pos)
+        if start < 0:
+            tree.at.children.append(page[pos:])
             break
-        if m.start() > pos:
-            at.children.append(page[pos : m.start()])
-        pos = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            after = n if end < 0 else end + 3
+            tag = ""
+        elif page.startswith(("<!", "<?"), start):
+            end = page.find(">", start) if start < scan.last else -1
+            after = n if end < 0 else end + 1
+            tag = ""
+        else:
+            m = NAME.match(page, start + 1)
+            end = scan.end(m.end()) if m else -1
+            if end < 0:  # no tag
+                after = start + 1
+                tree.at.children.append(page[pos:after])
+                pos = after
+                continue
+            after, tag, attributes = end + 1, m[0].lower(), page[m.end() : end]
+        if start > pos:
+            tree.at.children.append(page[pos:start])
+        pos = after
         if not tag:
             continue
-        attributes = m[3] if m[2] else m[6]
-        if m[1] or m[4]:
-            x = at
-            while x.parent is not None and x.tag != tag and not (tag in INLINE and x.tag in SCOPE) and not (tag in ("li", "p") and x.tag in SCOPE):
-                x = x.parent
-            if x.tag == tag and x.parent is not None:
-                at = x.parent
+        if tag.startswith("/"):
+            tag = tag[1:]
+            place = tree.last(tag)
+            if place > 0 and not ((tag in INLINE or tag in ("li", "p")) and place < tree.scopes[-1]):
+                tree.close_from(place)
             elif tag in ("p", "br"):
-                at.children.append(Node("br", at))
+                tree.add(Node("br", tree.at, tree.at.out), False)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-                pos = end.end() if end else n
+            if not (attributes.rstrip().endswith("/") and tag in ("svg", "math")):
+                m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, pos)
+                end = page.find(">", m.end()) if m else -1
+                pos = n if end < 0 else end + 1
             continue
         if tag not in INLINE and tag != "br":  # blocks end open paragraphs
-            x = at
-            while x.parent is not None and x.tag != "p" and x.tag not in SCOPE:
-                x = x.parent
-            if x.tag == "p":
-                at = x.parent
+            place = tree.last("p")
+            if place > tree.scopes[-1]:
+                tree.close_from(place)
         if tag in CLOSED_BY:
-            x = at
-            while x.parent is not None and x.tag not in CLOSED_BY[tag] and x.tag not in SCOPE - {"td", "th"}:
-                x = x.parent
-            if x.tag in CLOSED_BY[tag]:
-                at = x.parent
+            places = [x for x in map(tree.last, CLOSED_BY[tag]) if x > tree.outer[-1]]
+            if places:
+                tree.close_from(min(places))
         out, head = _left_out(tag, attributes)
-        node = Node(tag, at, out or at.out, head)
-        at.children.append(node)
-        if tag not in VOID and not (attributes.endswith("/") and tag in INLINE):
-            at = node
-    return root
-
-
-def _inside_article(node: Node) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
-def _has_heading(node: Node) -> bool:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.tag in HEADINGS:
-            return True
-        stack += [c for c in x.children if not isinstance(c, str)]
-    return False
+        node = Node(tag, tree.at, out or tree.at.out, head)
+        tree.add(node, tag not in VOID and not (attributes.endswith("/") and tag in INLINE))
+    return tree.root
 
 
 def blocks(node: Node) -> list[str]:
@@ -147,7 +214,7 @@ def blocks(node: Node) -> list[str]:
 
     def flush():
         if run:
-            text = " ".join(entities.unescape("".join(run)).split())
+            text = " ".join(entities.unescape(LONG_NUMBER.sub("\ufffd", "".join(run))).split())
             if text:
                 out.append(text)
             run.clear()
@@ -178,25 +245,30 @@ def main_text(page: str | None) -> str:
     while stack:
         x = stack.pop()
         order.append(x)
-        if x.head and not x.out and not (_inside_article(x.parent) and _has_heading(x)):
+        stack += [c for c in x.children if not isinstance(c, str)]
+    headed = set()  # elements with a heading in them
+    for x in reversed(order):  # children before parents
+        if x.tag in HEADINGS or x in headed:
+            headed.update((x, x.parent))
+    inside = set()  # elements in an article
+    for x in order:
+        if x.parent in inside or x.tag in ("article", "main"):
+            inside.add(x)
+        if x.parent is not None and x.parent.out or x.head and not (x.parent in inside and x in headed):
             x.out = True
-        for c in x.children:
-            if not isinstance(c, str):
-                c.out = c.out or x.out
-                stack.append(c)
     scored = set()
-    for x in reversed(order):  # children before parents
+    for x in reversed(order):
         if x.out:
             continue
-        own = sum(len(c.strip()) for c in x.children if isinstance(c, str))
+        texts = [c for c in x.children if isinstance(c, str)]
         inner = [c for c in x.children if not isinstance(c, str) and not c.out]
-        x.chars = own + sum(c.chars for c in inner)
+        x.chars = sum(len(c.strip()) for c in texts) + sum(c.chars for c in inner)
+        x.commas = sum(c.count(",") + c.count("，") for c in texts) + sum(c.commas for c in inner)
         x.linked = x.chars if x.tag == "a" else sum(c.linked for c in inner)
         has_block = any(c.tag not in INLINE and c.tag != "br" for c in inner)
         x.paragraph = x.tag in PARAGRAPHS and not (x.tag in ("td", "li", "blockquote") and has_block) or x.tag in ("div", "section", "article", "main") and not has_block and x.chars > 0
         if x.paragraph and x.chars and x.linked < x.chars:
-            commas = sum(t.count(",") + t.count("，") for t in blocks(x))
-            points, up, share = 1 + commas + min(3.0, x.chars / 100), x.parent, 1.0
+            points, up, share = 1 + x.commas + min(3.0, x.chars / 100), x.parent, 1.0
             if x.tag not in PARAGRAPHS:
                 up = x
             for level in range(5):
