@@ -30,7 +30,7 @@ def test_five_megabytes():
     [
         ('<p title="a > b">text</p>', "text"), ("<p title='a>text</p>", "text"), ('<p a="1>one</p><p b="2">two</p>', "one two"),
         ("<p>1 < 2 and <3</p>", "1 < 2 and <3"), ("<p>a<!-- x > y -->b</p>", "ab"), ("<p>a<script>if (a</b) x</scripty></script >b</p>", "ab"),
-        ("<ul><li>a<li>b</ul>", "a b"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"), ("<p>a<b>c</p><p>d", "ac d"),
+        ("<ul><li>a<li>b</ul>", "a b"), ("<main><table><tr><td>a<td>b<tr><td>c</table></main>", "a b c"), ("<p>a<b>c</p><p>d", "ac d"),
     ],
 )
 def test_quotes_and_unclosed_tags(page, want):
