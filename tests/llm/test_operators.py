@@ -87,8 +87,42 @@ def test_contamination_blocks_and_edges(spark):
         assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found), key=str) == sorted(want, key=str)
     assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()) == [2, 4]
     assert decontaminate.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
-    tests = decontaminate.TestSuffixes([("1", decontaminate.words_of(" ".join(words[:30])))])
-    assert (0, 0, 1, 25) in decontaminate.longest_matches(["A " + " ".join(words[:25]) + " z"], tests)
+    most = {(r.doc_id, r.n_words): r.longest and tuple(r.longest) for r in decontaminate.contamination(docs, bench, block_words=15).collect()}
+    assert most[1, 26] == (25, 1, "1", 0) and most[4, 15] == (12, 3, "4", 0) and most[3, 3] == (2, 0, "2", 0) and most[2, 0] is None
+
+
+def test_long_items_and_brute_force(spark):
+    """Places, items and longest matches against all pairs; an item of 100,000 words takes memory in proportion to them."""
+    rng = random.Random(4)
+    long = [f"z{rng.randrange(50_000)}".encode() for _ in range(100_000)]
+    tests = decontaminate.TestSuffixes([("long", long)])
+    assert sum(x.nbytes for x in vars(tests).values() if isinstance(x, np.ndarray)) < 400 * len(long)
+    words = [f"w{i}" for i in range(6)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(str(i), text(rng.choice([3, 10, 14, 40]))) for i in range(8)] + [("8", " ".join(map(bytes.decode, long)))]
+    texts = [text(rng.choice([0, 5, 60])) + " " + " ".join(rng.choice(items[:8])[1].split()[rng.randrange(4) :]) + " " + text(4) for _ in range(30)] + ["", " ".join(map(bytes.decode, long[5:90_000]))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (2_000_000, 20):
+        found = {r.doc_id: r for r in decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string"), block_words=block).collect()}
+        for i, t in enumerate(texts[:-1]):
+            w, hit, names, best = t.split(), set(), set(), None
+            for name, item in items[:8]:
+                x = item.split()
+                n = min(10, len(x))
+                for p in range(len(w)):
+                    for q in range(len(x) - n + 1):
+                        if w[p : p + n] == x[q : q + n]:
+                            m = n
+                            while n == 10 and p + m < len(w) and q + m < len(x) and w[p + m] == x[q + m]:
+                                m += 1
+                            hit.update(range(p, p + m))
+                            names.add(name)
+                            best = min(best or (-m, p, name, q), (-m, p, name, q))
+            assert (found[i].n_words, found[i].n_hit, list(found[i]["items"])) == (len(w), len(hit), sorted(names))
+            assert (found[i].longest and tuple(found[i].longest)) == (best and (-best[0], best[1], best[2], best[3]))
+        assert tuple(found[31].longest) == (89_995, 0, "8", 5) and found[31].n_hit == 89_995
+    assert decontaminate.contamination(docs.limit(0), docs.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    assert decontaminate.keep_clean(docs, docs.limit(0).select(F.col("doc_id").alias("item_id"), "text")).count() == len(texts)
 
 
 def test_mixing_edges(spark):
@@ -105,6 +139,20 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[None] * 500, [7] * 500, [i % 3 for i in range(500)]])
+def test_mixing_of_shared_ids(spark, ids):
+    """Rows that share a hash reach the target all the same: with equal texts, and with unlike ones."""
+    for text in (lambda i: "a b c", lambda i: "w " * (i % 9)):
+        docs = spark.createDataFrame([(d, text(i), "s0") for i, d in enumerate(ids)] + [(1000 + i, "x " * 20, "s1") for i in range(30)], "doc_id long, text string, source string").repartition(5)
+        rows = mixing.mix(docs).collect()
+        by = {}
+        for r in rows:
+            assert 0 <= r.taken <= 2 * r.size
+            by.setdefault((r.source_size, r.target), []).append(r.taken)
+        assert len(rows) == 530 and all(sum(x) == int(t) for (_, t), x in by.items())
+        assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=str)
+
+
 def test_merkle_audit(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "é" * i) for i in range(300)] + [(None, None, None)], "page_id long, url string, html string").withColumn("n", F.lit(1))
     recs = warc.records(pages)

@@ -74,7 +74,11 @@ def with_row_ids(docs: DataFrame, *columns: str) -> DataFrame:
     Where doc_id is whole and unique it serves as rid. Otherwise (nulls, repeated rows) the rows are sorted by
     doc_id, nulls last, then by the other columns, and numbered once in a table in the shared folder.
     """
-    return numbered(docs.select("doc_id", *columns), "rid").select("rid", "doc_id", *columns)
+    rows = numbered(docs.select("doc_id", *columns), "rid")
+    out = rows.select("rid", "doc_id", *columns)
+    if hasattr(rows, "_tracelake_path"):
+        out._tracelake_path = rows._tracelake_path
+    return out
 
 
 def free_name(docs: DataFrame, name: str) -> str:

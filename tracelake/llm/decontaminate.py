@@ -10,8 +10,8 @@ match are hit. Longer matches are the union of their windows.
 The benchmark is broadcast in blocks of at most BLOCK_WORDS words; each block is one pass, and the passes are joined per document.
 
 Defined cases: a null text has no words; an item without words matches nothing; an item under WINDOW words is one window.
-Items that repeat an item_id count once; items with a null item_id hit words and aren't counted. Repeated document rows are
-separate. Empty tables: without documents the result is empty, without a benchmark nothing is hit. Other columns are ignored.
+Items that repeat an item_id count once; items with a null item_id hit words and aren't counted. Of longest matches of one length the first
+in the document counts, then the item whose id is the least string. Repeated document rows are separate. Empty tables: without documents the result is empty, without a benchmark nothing is hit. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,31 +35,35 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """A block of benchmark items: their vocabulary, first words, and suffixes."""
+    """A block of benchmark items: their vocabulary, first words, and suffixes. Items of equal words are one, with several names."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
-        self.window, self.vocabulary = window, {}
-        for _, words in items:
-            for w in words:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        rows, self.item, self.length, self.rest, self.names = [], [], [], [], [name for name, _ in items]
+        self.window, self.vocabulary, texts = window, {}, {}
+        for name, words in items:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint32)
+            if len(ids):
+                texts.setdefault(ids.tobytes(), (ids, set()))[1].add(name)
+        self.names = [sorted(names - {None}) for _, names in texts.values()]
+        rows, item, place, length = [np.empty((0, window), np.uint32)], [], [], []
         starts: dict[int, set] = {1: set(), 2: set(), 3: set(), 4: set()}
-        for k, (_, words) in enumerate(items):
-            ids = [self.vocabulary[w] for w in words]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                x = ids[i : i + window]
-                starts[min(4, len(x))].add(tuple(x[:4]))
-                rows.append(x + [0] * (window - len(x)))
-                self.item.append(k)
-                self.length.append(len(x))
-                self.rest.append(ids[i + window :])
-        self.rows = np.array(rows, np.uint32).reshape(-1, window)
-        self.item, self.length = np.array(self.item, np.int64), np.array(self.length, np.int64)
+        for k, (ids, _) in enumerate(texts.values()):
+            n, size = max(1, len(ids) - window + 1), min(window, len(ids))
+            x = np.zeros((n, window), np.uint32)
+            x[:, :size] = np.lib.stride_tricks.sliding_window_view(ids, size)
+            starts[min(4, size)].update(map(tuple, x[:, : min(4, size)].tolist()))
+            rows.append(x)
+            item += [k] * n
+            place += range(n)
+            length += [size] * n
+        self.rows = np.concatenate(rows)
+        self.item, self.place, self.length = (np.array(x, np.int64) for x in (item, place, length))
         # Windows that are equal are searched once.
         self.unique, self.which = np.unique(np.column_stack([self.rows, self.length.astype(np.uint32)]), axis=0, return_inverse=True)
         self.which = self.which.reshape(-1)
+        self.by_window = np.argsort(self.which, kind="stable")  # the test suffixes of each window, one after the other
+        self.first = np.searchsorted(self.which[self.by_window], np.arange(len(self.unique) + 1))
         # Grams of one to four words: a position goes on while its words so far begin a window; short windows are whole at once.
         self.steps, v = [], np.uint64(len(self.vocabulary) + 1)
         ranks = {(): 0}
@@ -110,21 +114,17 @@ def _keys(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").reshape(-1)
 
 
-def longest_matches(texts: list[str | None], tests: TestSuffixes) -> list[tuple[int, int, int, int]]:
-    """(item, text, first word, words) of the longest verbatim match of every test suffix that has one, for each text it is in."""
-    ids, starts = _numbers([words_of(t) for t in texts], tests)
-    out = []
-    for k, at in tests.matches(ids):
-        doc = np.searchsorted(starts, at, "right") - 1
-        for s in np.flatnonzero(tests.which == k).tolist():
-            best: dict[int, tuple[int, int]] = {}
-            for d, p in zip(doc.tolist(), at.tolist()):
-                n, rest = int(tests.length[s]), tests.rest[s]
-                while n - tests.length[s] < len(rest) and p + n < len(ids) and ids[p + n] == rest[n - tests.length[s]]:
-                    n += 1
-                best[d] = max(best.get(d, (0, 0)), (n, -(p - int(starts[d]))))
-            out += [(int(tests.item[s]), d, -p, n) for d, (n, p) in best.items()]
-    return out
+def diagonals(found: list[tuple[int, np.ndarray]], tests: TestSuffixes) -> tuple[np.ndarray, ...]:
+    """The verbatim matches that can't be extended, as (item, place in item, place in ids, words), from the windows found."""
+    suffix = [tests.by_window[tests.first[k] : tests.first[k + 1]] for k, _ in found]
+    p = np.concatenate([np.empty(0, np.int64), *(np.repeat(at, len(s)) for s, (_, at) in zip(suffix, found))])
+    s = np.concatenate([np.empty(0, np.int64), *(np.tile(s, len(at)) for s, (_, at) in zip(suffix, found))])
+    item, place, size = tests.item[s], tests.place[s], tests.length[s]
+    order = np.lexsort((p, place - p, item))
+    p, item, place, size = p[order], item[order], place[order], size[order]
+    begins = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (np.diff(place - p) != 0) | (np.diff(p) != 1)])[: len(p)])
+    runs = np.diff(np.append(begins, len(p)))
+    return item[begins], place[begins], p[begins], runs - 1 + size[begins]
 
 
 def _numbers(words: list[list[bytes]], tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +137,12 @@ def _numbers(words: list[list[bytes]], tests: TestSuffixes) -> tuple[np.ndarray,
     return ids, starts
 
 
+LONGEST = "struct<words:long,at:long,item:string,item_at:long>"
+
+
 def _search(tests_b):
-    schema = pa.schema([("rid", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    longest = pa.struct([("words", pa.int64()), ("at", pa.int64()), ("item", pa.string()), ("item_at", pa.int64())])
+    schema = pa.schema([("rid", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", longest)])
 
     def run(batches):
         tests = tests_b()
@@ -147,71 +151,75 @@ def _search(tests_b):
             for i, j in pieces_of(texts, SHARD_BYTES):
                 words = [words_of(t) for t in texts[i:j]]
                 ids, starts = _numbers(words, tests)
-                edge, items = np.zeros(len(ids) + 1, np.int32), {}
-                of = [[] for _ in range(len(tests.unique))]
-                for s, k in enumerate(tests.which.tolist()):
-                    of[k].append(int(tests.item[s]))
-                for k, at in tests.matches(ids):
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + int(tests.unique[k, -1]), -1)
-                    for d in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
-                        items.setdefault(d, set()).update(of[k])
+                item, place, p, size = diagonals(list(tests.matches(ids)), tests)
+                edge, items, best = np.zeros(len(ids) + 1, np.int32), {}, {}
+                np.add.at(edge, p, 1)
+                np.add.at(edge, p + size, -1)
+                doc = np.searchsorted(starts, p, "right") - 1
+                for d, k in set(zip(doc.tolist(), item.tolist())):
+                    items.setdefault(d, set()).update(tests.names[k])
+                for d, k, q, at, n in zip(doc.tolist(), item.tolist(), place.tolist(), (p - starts[doc]).tolist(), size.tolist()):
+                    name = tests.names[k][0] if tests.names[k] else None
+                    x = (-n, at, name is None, name or "", q)
+                    if d not in best or x < best[d]:
+                        best[d] = x
                 hit = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
                 ups, downs = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(~hit[1:] & hit[:-1])
                 first = np.searchsorted(ups, np.append(starts, len(ids)))
-                rows = [
-                    (rids[i + d], len(w), (ups[a:e] - s).tolist(), (downs[a:e] - s).tolist(), sorted({tests.names[x] for x in items.get(d, ()) if tests.names[x] is not None}))
-                    for d, (w, s, a, e) in enumerate(zip(words, starts.tolist(), first[:-1].tolist(), first[1:].tolist()))
-                ]
+                rows = []
+                for d, (w, s, a, e) in enumerate(zip(words, starts.tolist(), first[:-1].tolist(), first[1:].tolist())):
+                    x = best.get(d)
+                    most = x and {"words": -x[0], "at": x[1], "item": None if x[2] else x[3], "item_at": x[4]}
+                    rows.append((rids[i + d], len(w), (ups[a:e] - s).tolist(), (downs[a:e] - s).tolist(), sorted(items.get(d, ())), most))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return run, "rid long, n_words long, starts array<long>, ends array<long>, items array<string>"
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs(doc_id, text), benchmark(item_id, text) to (rid, doc_id, n_words, n_hit, items, spans)."""
-    spark = docs.sparkSession
-    keyed = with_row_ids(docs, "text")
-    passes, block, size = [], [], 0
+    return run, f"rid long, n_words long, starts array<long>, ends array<long>, items array<string>, longest {LONGEST}"
 
-    def close():
-        passes.append(keyed.select("rid", "text").mapInArrow(*_search(share(spark, TestSuffixes(block, window)))))
 
-    for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
+def blocks_of(benchmark: DataFrame, block_words: int):
+    """The items, sorted, in blocks of at most so many words or one item, one block at least; read one partition at a time."""
+    block, size, some = [], 0, False
+    for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct().orderBy("item_id", "text").toLocalIterator():
         words = words_of(r.text)
         if block and size + len(words) > block_words:
-            close()
-            block, size = [], 0
+            yield block
+            block, size, some = [], 0, True
         block.append((r.item_id, words))
         size += len(words)
-    close()
+    if block or not some:
+        yield block
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs(doc_id, text), benchmark(item_id, text) to (rid, doc_id, n_words, n_hit, items, longest, spans).
+
+    longest: the longest verbatim match (words, at, item, item_at), null without a hit; spans: the runs of hit words (starts, ends).
+    """
+    spark = docs.sparkSession
+    keyed = with_row_ids(docs, "text")
+    passes = [keyed.select("rid", "text").mapInArrow(*_search(share(spark, TestSuffixes(block, window)))) for block in blocks_of(benchmark, block_words)]
     found = passes[0]
     if len(passes) > 1:
         for p in passes[1:]:
             found = found.union(p)
         join = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  one row per pass
-        found = found.groupBy("rid").agg(F.max("n_words").alias("n_words"), join("starts"), join("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        x = F.col("longest")
+        order = F.struct(-x["words"], x["at"], x["item"].isNull(), x["item"], x["item_at"])
+        found = found.groupBy("rid").agg(F.max("n_words").alias("n_words"), join("starts"), join("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min_by("longest", F.when(x.isNotNull(), order)).alias("longest"))
     spans = F.array_sort(F.arrays_zip("starts", "ends"))
     # Spans of several passes may overlap: each adds what lies behind the ends before it.
     hit = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x["ends"] - F.greatest(x["starts"], a["to"]))).alias("n"), F.greatest(a["to"], x["ends"]).alias("to")))["n"]
-    found = found.select("rid", "n_words", hit.alias("n_hit"), "items", spans.alias("spans"))
+    found = found.select("rid", "n_words", hit.alias("n_hit"), "items", "longest", spans.alias("spans"))
     if keyed.schema["doc_id"].dataType.typeName() == "long" and not hasattr(keyed, "_tracelake_path"):
-        return found.select("rid", F.col("rid").alias("doc_id"), "n_words", "n_hit", "items", "spans")
-    return keyed.select("rid", "doc_id").join(found, "rid").select("rid", "doc_id", "n_words", "n_hit", "items", "spans")
+        return found.select("rid", F.col("rid").alias("doc_id"), "n_words", "n_hit", "items", "longest", "spans")
+    return keyed.select("rid", "doc_id").join(found, "rid").select("rid", "doc_id", "n_words", "n_hit", "items", "longest", "spans")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit; one pass, no shuffle."""
-    spark = docs.sparkSession
-    items = [(r.item_id, words_of(r.text)) for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator()]
-    block, size = [], 0
-    for item in items:
-        if block and size + len(item[1]) > BLOCK_WORDS:
-            docs = _without(docs, share(spark, TestSuffixes(block)))
-            block, size = [], 0
-        block.append(item)
-        size += len(item[1])
-    return _without(docs, share(spark, TestSuffixes(block)))
+    """The documents without a hit, with all their columns; one pass, no shuffle."""
+    for block in blocks_of(benchmark, BLOCK_WORDS):
+        docs = _without(docs, share(docs.sparkSession, TestSuffixes(block)))
+    return docs
 
 
 def _without(docs: DataFrame, tests_b) -> DataFrame:
@@ -229,21 +237,30 @@ def _without(docs: DataFrame, tests_b) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """longest, longest_at and longest_item: the words, the place and the item of the document's longest verbatim match."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    most = F.col("longest")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.coalesce(most["words"], F.lit(0).cast("long")).alias("longest"), most["at"].alias("longest_at"), most["item"].alias("longest_item"),
+    )
 
 
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, r, i AS q, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
        FROM b, unnest(range(1, greatest(2, len(w) - 8))) AS t(i) WHERE len(w) > 0),
 lens AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT d.doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, lens, unnest(range(1, len(w) - n + 2)) AS t(i)),
-m AS (SELECT DISTINCT doc_id, i, n, item_id FROM dw JOIN bw USING (n, g)),
+m AS (SELECT doc_id, i, n, item_id, r, q FROM dw JOIN bw USING (n, g)),
 hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM m, unnest(range(i, i + n)) AS t(k) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM m WHERE item_id IS NOT NULL) GROUP BY doc_id),
+diagonals AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, r, q - i ORDER BY i) AS part FROM m),
+runs AS (SELECT doc_id, r, min(item_id) AS item_id, min(i) - 1 AS pos, count(*) - 1 + max(n) AS words FROM diagonals GROUP BY doc_id, r, q - i, part),
+longest AS (SELECT doc_id, words, pos, item_id FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, pos, item_id NULLS LAST) = 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(words, 0) AS BIGINT) AS longest, CAST(pos AS BIGINT) AS longest_at, longest.item_id AS longest_item
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
