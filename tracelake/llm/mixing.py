@@ -9,10 +9,13 @@ the next source's cap / weight.
 Sampling is seeded and exact: each document is repeated floor(target / source size) times in whole; the source's
 remaining words come from the documents whose seeded hash is below the source's cutoff, found by two rounds of a
 1,024-bucket histogram. The documents in the one histogram cell that holds the cutoff (about a millionth of the source)
-give the fraction of their words that is still missing.
+give the fraction of their words that is still missing, rounded along their running sum, so that a source's taken words are its target
+rounded down.
 
 Defined cases: a null text or one without words has size 0 and takes 0 words. A null source is a source of its own, the last.
-Repeated rows count each; they share a hash, and so a histogram cell. An empty table gives an empty result. Other columns are ignored.
+Rows with one doc_id, or none, share a hash and so a histogram cell; repeated rows count each, and which of them takes a word more is
+open. Such a cell may hold very many rows: these are numbered in two levels, by task and within it. An empty table gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,13 +89,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     p, t = plan.alias("p"), two.alias("t")
     cuts = p.join(o, F.col("p.source").eqNullSafe(F.col("o.source")), "left").join(t, F.col("p.source").eqNullSafe(F.col("t.source")), "left")
     cuts = cut(cuts.select("p.*", "o.c1", "t.c2", "t.left2", "t.n2"))
-    d, x = base.withColumn("d1", cell1).withColumn("d2", cell2).alias("d"), cuts.alias("x")
-    out = d.join(small(x), F.col("d.source").eqNullSafe(F.col("x.source")))
-    below = (F.col("d1") < F.col("c1")) | ((F.col("d1") == F.col("c1")) & (F.col("d2") < F.col("c2")))
-    share_of = F.floor(F.col("size") * F.col("left2") / F.col("n2") + (F.col("u") % 1048576) / F.lit(1048576.0)).cast("long")
-    part = F.when(below, F.col("size")).when((F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), F.least(share_of, F.col("size")))
-    taken = F.col("size") * F.col("whole") + F.coalesce(part, F.lit(0))
-    return out.select("d.doc_id", "d.size", "x.source_size", "x.target", taken.alias("taken"))
+    d, x = base.withColumn("d1", cell1).withColumn("d2", cell2).withColumn("task", F.spark_partition_id()).alias("d"), cuts.alias("x")
+    out = d.join(small(x), F.col("d.source").eqNullSafe(F.col("x.source"))).withColumn("k", F.coalesce("x.whole", F.lit(0)))
+    at_cut = F.coalesce((F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), F.lit(False))
+    below = F.coalesce((F.col("d1") < F.col("c1")) | ((F.col("d1") == F.col("c1")) & (F.col("d2") < F.col("c2"))), F.lit(False))
+    names = "doc_id", "size", "source_size", "target"
+    most = out.filter(~at_cut).select(*(f"d.{c}" if c in ("doc_id", "size") else f"x.{c}" for c in names), (F.col("size") * F.col("k") + F.when(below, F.col("size")).otherwise(0)).alias("taken"))
+    # The rows of the cut cells: kinds of equal rows, their number by task, and the words before each row.
+    kind = [F.coalesce(F.col(f"d.{c}").cast("string"), F.lit("")).alias(f"key_{c}") for c in ("source", "doc_id")] + [F.col(f"d.{c}").isNull().alias(f"no_{c}") for c in ("source", "doc_id")]
+    keys = ["key_source", "key_doc_id", "no_source", "no_doc_id", "u", "size"]
+    cell = cut(out.filter(at_cut).select("d.doc_id", "x.source_size", "x.target", "k", "left2", "n2", "d.u", "d.size", "task", *kind))
+    by_task = cell.groupBy(*keys, "task").agg(F.count(F.lit(1)).alias("n"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    by_task = by_task.withColumn("rows_before", F.coalesce(F.sum("n").over(before(Window.partitionBy(*keys).orderBy("task"))), F.lit(0)))
+    kinds = by_task.groupBy(*keys).agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("no_source", "key_source").orderBy("u", "size", F.col("no_doc_id"), "key_doc_id")
+    kinds = kinds.withColumn("words_before", F.coalesce(F.sum(F.col("n") * F.col("size")).over(before(order)), F.lit(0)))
+    cell = cell.withColumn("turn", F.row_number().over(Window.partitionBy(*keys, "task").orderBy("k"))).join(by_task.drop("n").join(kinds.drop("n"), keys), [*keys, "task"])
+    end = F.col("words_before") + (F.col("rows_before") + F.col("turn")) * F.col("size")
+    share_of = lambda words: F.call_function("div", words.cast("decimal(20,0)") * F.col("left2").cast("decimal(18,0)"), F.col("n2").cast("decimal(20,0)"))
+    rest = cell.withColumn("end", end).select(*names, (F.col("size") * F.col("k") + share_of(F.col("end")) - share_of(F.col("end") - F.col("size"))).alias("taken"))
+    return most.unionByName(rest)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,13 +135,14 @@ whole AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_si
 missing AS (SELECT *, CAST(floor(target) AS BIGINT) - whole * source_size AS missing FROM whole),
 cells AS (SELECT source, u >> 20 AS c, sum(size) AS n FROM base GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY c) AS upto FROM cells),
-cutoff AS (SELECT m.source, cum.c, m.missing - cum.upto + cum.n AS gap, cum.n FROM cum
+cutoff AS (SELECT m.source, cum.c, CAST(m.missing - cum.upto + cum.n AS BIGINT) AS gap, CAST(cum.n AS BIGINT) AS n FROM cum
   JOIN missing m ON m.source IS NOT DISTINCT FROM cum.source
   WHERE cum.upto > m.missing AND cum.upto - cum.n <= m.missing AND cum.n > 0)
 SELECT b.doc_id, b.size, m.source_size, m.target,
   CAST(b.size * m.whole + CASE WHEN (b.u >> 20) < x.c THEN b.size
-       WHEN (b.u >> 20) = x.c THEN least(b.size, CAST(floor(b.size * x.gap::DOUBLE / x.n + (b.u % 1048576) / 1048576.0::DOUBLE) AS BIGINT))
+       WHEN (b.u >> 20) = x.c THEN (run * x.gap) // x.n - ((run - b.size) * x.gap) // x.n
        ELSE 0 END AS BIGINT) AS taken
-FROM base b JOIN missing m ON m.source IS NOT DISTINCT FROM b.source
+FROM (SELECT *, CAST(sum(size) OVER (PARTITION BY source, u >> 20 ORDER BY u, size, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM base) b
+JOIN missing m ON m.source IS NOT DISTINCT FROM b.source
 LEFT JOIN cutoff x ON x.source IS NOT DISTINCT FROM b.source
 """
