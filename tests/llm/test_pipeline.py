@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tracelake.llm import suffix_array
 
 
 def uncovered(texts, length=200):
@@ -84,3 +85,11 @@ def test_cut_repeats_with_clashing_columns_and_empty(spark):
         assert stage(spark, docs.limit(0), "").count() == 0
     found = sorted((r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()))
     assert found == ["\n" + passage, " more", "short"]
+
+
+def test_crowded_passages_keep_the_first_copy(spark):
+    """Anchors with more different pieces than a shard takes, by blocks of windows."""
+    texts = [r[1] for r in sample()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.kept for r in suffix_array.deduplicate(docs, crowd=2, keep_first=True).collect()}
+    assert [found[i] for i in range(len(texts))] == uncovered(texts)

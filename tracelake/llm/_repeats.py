@@ -10,9 +10,9 @@ A window is LENGTH consecutive symbols (bytes or words) of one document. The ste
    passage that a third of all documents share costs a row per task.
 3. *Shards.* Different pieces with the same anchor may still share some windows. One copy of each is sent, by its anchor,
    to a shard of bounded size, where an index (a suffix array or a suffix automaton) finds the shared windows exactly. An
-   anchor with more than CROWD different pieces or CROWD_BYTES of them isn't sent to one shard: its windows are first grouped in blocks of 16 offsets
-   from the anchor by the hash of the symbols that all windows of a block have in common, and the windows of blocks that
-   repeat are then matched one by one by their 128-bit hashes; both are plain counts by key.
+   anchor with more than CROWD different pieces or CROWD_BYTES of them isn't sent to one shard: its windows are grouped in blocks of 64
+   offsets from the anchor. A block repeats where the hash of all that it covers repeats; its windows can't repeat where the hash
+   of the symbols that they all have in common doesn't; the others are split into blocks of 16, 4 and 1. These are plain counts by key.
 4. The decisions are joined back to the pieces, gathered by document and applied to the text.
 
 Only documents with a repeated anchor are sent through steps 2 to 4.
@@ -35,7 +35,8 @@ CROWD, CROWD_BYTES = 512, 1_000_000
 SHARD_BYTES = 500_000
 #: The most keys that a join broadcasts because very many rows have them, and the fewest rows of such a key.
 HOT_KEYS, LEAST_HOT = 10_000, 1_000
-BLOCK = 16
+#: Windows of one block, by level.
+BLOCKS = (64, 16, 4, 1)
 
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -217,9 +218,13 @@ def _shard(find):
     return run, "v long, ph binary, offs array<int>"
 
 
-def _blocks(kind: type[Symbols]):
-    """Crowded pieces to a row for each anchor place and block of offsets: (key, v, ph, rid, s, content, at, o)."""
-    schema = {"key": pa.binary(), "v": pa.int64(), "ph": pa.binary(), "rid": pa.int64(), "first": pa.int32(), "last": pa.int32(), "windows": pa.list_(pa.binary())}
+def _blocks(kind: type[Symbols], size: int):
+    """Crowded pieces to a row for each place of the anchor and block of offsets from it, of the windows in todo, or of all.
+
+    (v, ph, rid, first, last, core, whole): the windows from first to last; core: a hash of what all windows of such a block have
+    in common, whole: one of all that its windows cover, with their offsets.
+    """
+    schema = {"v": pa.int64(), "ph": pa.binary(), "rid": pa.int64(), "first": pa.int32(), "last": pa.int32(), "core": pa.binary(), "whole": pa.binary()}
 
     def run(batches):
         h = xxhash.xxh3_128_digest
@@ -229,19 +234,21 @@ def _blocks(kind: type[Symbols]):
                 with np.errstate(over="ignore"):
                     g = gram_hashes(x.codes, x.gram)
                 places = np.flatnonzero(g == np.int64(r["v"]).view(np.uint64))
-                starts = np.arange(r["nw"])
+                ranges = [(t["first"] - r["s"], t["last"] - r["s"]) for t in r["todo"]] if r["todo"] is not None else [(0, r["nw"])]
+                starts = np.concatenate([np.arange(*t) for t in sorted(ranges)])
                 at = places[np.searchsorted(places, starts)]  # the first place of the anchor in each window
-                block = (at - starts) // BLOCK
-                turn = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]) | (block[1:] != block[:-1])) + 1, [r["nw"]]]).tolist()
+                block = (at - starts) // size
+                new = (at[1:] != at[:-1]) | (block[1:] != block[:-1]) | (starts[1:] != starts[:-1] + 1)
+                turn = np.concatenate([[0], np.flatnonzero(new) + 1, [len(starts)]]).tolist()
                 for a, e in zip(turn[:-1], turn[1:]):
-                    k, p = int(block[a]), int(at[a])
-                    core = x.content(max(0, p - k * BLOCK), p - (k + 1) * BLOCK + 1 + x.length)
-                    windows = [h(x.content(i, i + x.length)) for i in range(a, e)]
-                    for o, y in zip(out, (h(core + b"|%d" % k), r["v"], r["ph"], r["rid"], r["s"] + a, r["s"] + e, windows)):
+                    i, j, k, p = int(starts[a]), int(starts[e - 1]), int(block[a]), int(at[a])
+                    core = x.content(max(0, p - k * size), p - (k + 1) * size + 1 + x.length)
+                    whole = x.content(i, j + x.length)
+                    for o, y in zip(out, (r["v"], r["ph"], r["rid"], r["s"] + i, r["s"] + j + 1, h(core + b"|%d" % k), h(whole + b"|%d|%d" % (p - i, p - j)))):
                         o.append(y)
                 yield _rows(schema, out)
 
-    return run, "key binary, v long, ph binary, rid long, first int, last int, windows array<binary>"
+    return run, "v long, ph binary, rid long, first int, last int, core binary, whole binary"
 
 
 def _apply(kind: type[Symbols], with_text: bool):
@@ -284,7 +291,7 @@ def _matched(rows: DataFrame, known: DataFrame, keys: list[str], how: str = "inn
     if known.filter("hot").limit(1).count() == 0:
         return rows.join(known.drop("hot", "c"), keys, how)
     rest = rows.join(F.broadcast(known.filter("hot").select(*keys)), keys, "left_anti")
-    return rest.join(known.filter("not hot").drop("hot", "c"), keys, how).union(rows.join(hot, keys, how))
+    return rest.join(known.filter("not hot").drop("hot", "c"), keys, how).union(rows.join(hot, keys, "inner" if how == "left" else how))
 
 
 def remove_repeats(docs: DataFrame, kind: type[Symbols], find, keep_first: bool, with_text: bool = False, crowd: int = CROWD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -334,13 +341,20 @@ def remove_repeats(docs: DataFrame, kind: type[Symbols], find, keep_first: bool,
 
 def _crowded(contents: DataFrame, kind: type[Symbols], need: DataFrame, keep_first: bool) -> DataFrame:
     """The repeated windows of pieces whose anchor has too many different ones for a shard: (v, ph, offs)."""
-    blocks = cut(contents.select("v", "ph", "rid", "s", "nw", "content").mapInArrow(*_blocks(kind)))
-    again = blocks.groupBy("v", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    spread = _matched(blocks, again, ["v", "key"], "left_semi").select("v", "ph", "rid", "first", F.posexplode("windows").alias("i", "w"))
-    windows = cut(spread.select("v", "ph", "w", "rid", (F.col("first") + F.col("i")).alias("at")))
-    whole = windows.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "at")).alias("least")).filter("c > 1")
-    hit = _matched(windows, whole, ["v", "w"])
-    if keep_first:
-        hit = hit.filter("least.rid <> rid or least.at <> at")
+    found, todo = None, contents.withColumn("todo", F.lit(None).cast("array<struct<first:int,last:int>>"))
+    for size in BLOCKS:
+        blocks = cut(todo.select("v", "ph", "rid", "s", "nw", "content", "todo").mapInArrow(*_blocks(kind, size)))
+        cores = blocks.groupBy("v", "core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        wholes = blocks.groupBy("v", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "first")).alias("least")).filter("c > 1")
+        state = _matched(_matched(blocks, cores, ["v", "core"], "left_semi").drop("core"), wholes, ["v", "whole"], "left")
+        # The first of equal blocks goes on for them all: its windows may start in other blocks too.
+        again = F.col("least").isNotNull()
+        first = again & (F.col("least.rid") == F.col("rid")) & (F.col("least.first") == F.col("first"))
+        state = cut(state.select("v", "ph", "first", "last", (again & ~first if keep_first else again).alias("hit"), (~again | first).alias("open")))
+        hits = state.filter("hit").select("v", "ph", "first", "last")
+        found = hits if found is None else found.union(hits)
+        open_ = state.filter("open").groupBy("v", "ph").agg(F.collect_list(F.struct("first", "last")).alias("todo"))
+        todo = contents.join(open_, ["v", "ph"])
     starts = need.filter("crowded").select("v", "ph", "s")
-    return hit.join(starts, ["v", "ph"]).groupBy("v", "ph").agg(F.collect_set((F.col("at") - F.col("s")).cast("int")).alias("offs"))
+    offs = F.sequence(F.col("first") - F.col("s"), F.col("last") - F.col("s") - 1)
+    return found.join(starts, ["v", "ph"]).groupBy("v", "ph").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(offs)))).alias("offs"))
