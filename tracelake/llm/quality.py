@@ -1,87 +1,101 @@
 """Text quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are the shapes of its words (letters as a or A, digits as 0, runs as one, other characters as they are) and counts
-of what junk repeats: words equal to the word before, lines equal to the line before, and words seen before. Terms weigh the square root
-of their share times the inverse document frequency. A truncated singular value decomposition of at most MAX_LABELLED labelled texts
-(chosen by a hash; held-out rows never) gives DIMENSIONS latent dimensions. The labelled vectors, at most MAX_LABELLED x
-DIMENSIONS float32, are broadcast. Every document's exact cosines with all of them are computed in blocks, and the
-NEIGHBOURS nearest vote with their labels, each with its cosine as weight.
+A text's terms are its words (lower-cased), the shapes of its words (letters as a or A, digits as 0, runs as one, other characters as they
+are) and three counts of what repeats: words equal to the word before, lines equal to the line before, and words missing from the
+n ** 0.8 / 2 different ones that a text of n words has at least (words of invented and of natural prose grow faster). Terms are hashed
+into BUCKETS buckets and weigh the square root of their share times the inverse document frequency.
+
+A truncated singular value decomposition of at most MAX_LABELLED labelled texts (chosen by a hash; held-out rows never) gives DIMENSIONS
+latent dimensions. The labelled vectors, at most MAX_LABELLED x DIMENSIONS float32, and the projection, BUCKETS x DIMENSIONS, are
+broadcast. Every document's exact cosines with all of them are computed in blocks, and the NEIGHBOURS nearest vote with their labels,
+each with its cosine as weight. Buckets of fewer than LEAST labelled texts weigh nothing.
 
 Defined cases: null and empty texts have no terms, a zero vector and so the share of good labels as score; so has everything if no
-labels are known (0.5). Null labels are ignored. Repeated label rows count each. An empty table gives an empty result. Other
-columns are ignored.
+labels are known (0.5). Null labels are ignored. Repeated label rows count each; of documents with one doc_id the least text is the
+labelled one. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out, share, table
+from ._common import LOWER, held_out, share, table
 from .toxicity import labelled
 
-MAX_LABELLED, MAX_TERMS, DIMENSIONS, NEIGHBOURS, THRESHOLD = 6_000, 2_048, 32, 25, 0.5
+MAX_LABELLED, BUCKETS, DIMENSIONS, NEIGHBOURS, LEAST, THRESHOLD = 6_000, 65_536, 32, 25, 3, 0.5
 SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 RUNS = re.compile(rb"([aA0])\1+")
+CHUNK = 200_000
 
 
-def terms(text: str | None) -> dict[bytes, float]:
-    """Terms and the square roots of their shares."""
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's terms, sorted, and the square roots of their shares."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
-    if not words:
-        return {}
-    n = len(words)
-    counts = Counter(RUNS.sub(rb"\1", data.translate(SHAPE)).split())
+    n, counts, h = len(words), Counter(), xxhash.xxh3_64_intdigest
+    if not n:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    for kind, found in ((0, RUNS.sub(rb"\1", data.translate(SHAPE)).split()), (1, data.translate(LOWER).split())):
+        for t, c in Counter(found).items():
+            counts[h(t, kind) % BUCKETS] += c
     lines = data.split(b"\n")
-    distinct = len(set(words))
-    counts[b" same"] = sum(map(eq, words, words[1:]))
-    counts[b" line"] = sum(len(a.split()) for a, b in zip(lines, lines[1:]) if a == b)
-    # Of ordinary text, about n ** 0.8 words are new.
-    counts[b" old"] = max(0, int(n ** 0.8) // 2 - distinct)
-    return {t: math.sqrt(c / n) for t, c in counts.items() if c}
+    repeats = sum(map(eq, words, words[1:])), sum(len(a.split()) for a, b in zip(lines, lines[1:]) if a == b), max(0, int(n ** 0.8) // 2 - len(set(words)))
+    for k, c in enumerate(repeats):
+        counts[h(b"repeats", k) % BUCKETS] += c
+    at = np.fromiter(counts, np.int32, len(counts))
+    weight = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)) / np.float32(n))
+    order = np.argsort(at)
+    return at[order], weight[order]
+
+
+def _product(keys: np.ndarray, others: np.ndarray, values: np.ndarray, y: np.ndarray, rows: int) -> np.ndarray:
+    """The sums of values * y[others] by keys, which are sorted."""
+    out = np.zeros((rows, y.shape[1]), np.float32)
+    for i in range(0, len(keys), CHUNK):
+        k = keys[i : i + CHUNK]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        out[k[starts]] += np.add.reduceat(values[i : i + CHUNK, None] * y[others[i : i + CHUNK]], starts)
+    return out
 
 
 class Model:
-    def __init__(self, rows: list[tuple[dict[bytes, float], int]]):
-        self.prior = (sum(y for _, y in rows) / len(rows)) if rows else 0.5
-        seen = Counter(t for x, _ in rows for t in x)
-        chosen = sorted((t for t, c in seen.items() if c > 2), key=lambda t: (-seen[t], t))[:MAX_TERMS]
-        self.term = {t: i for i, t in enumerate(chosen)}
-        self.labels = np.array([y for _, y in rows], np.float32)
-        if not chosen:
-            self.projection = None
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int]]):
+        self.prior = (sum(y for *_, y in rows) / len(rows)) if rows else 0.5
+        self.labels = np.array([y for *_, y in rows], np.float32)
+        at = np.concatenate([np.empty(0, np.int32), *(t for t, _, _ in rows)])
+        doc = np.repeat(np.arange(len(rows)), [len(t) for t, _, _ in rows])
+        seen = np.bincount(at, minlength=BUCKETS)
+        self.idf = np.where(seen >= LEAST, 1 + np.log(max(1, len(rows)) / np.maximum(seen, 1)), 0).astype(np.float32)
+        weight = np.concatenate([np.empty(0, np.float32), *(w for _, w, _ in rows)]) * self.idf[at]
+        norm = np.sqrt(np.bincount(doc, weight * weight, minlength=len(rows))).astype(np.float32)
+        weight /= np.maximum(norm, 1e-12)[doc]
+        by_term = np.argsort(at, kind="stable")
+        times = lambda y: _product(doc, at, weight, y, len(rows))
+        back = lambda y: _product(at[by_term], doc[by_term], weight[by_term], y, BUCKETS)
+        k = min(DIMENSIONS, len(rows), int((seen >= LEAST).sum()))
+        self.projection = None
+        if not k:
             return
-        self.idf = np.array([1 + math.log(len(rows) / seen[t]) for t in chosen], np.float32)
-        x = self.weights([t for t, _ in rows])
-        k = min(DIMENSIONS, *x.shape)
-        random = np.random.default_rng(0).standard_normal((x.shape[1], min(k + 16, x.shape[1]))).astype(np.float32)
+        basis = np.random.default_rng(0).standard_normal((BUCKETS, min(k + 16, len(rows)))).astype(np.float32)
         for _ in range(4):  # subspace iteration
-            random, _ = np.linalg.qr(x.T @ (x @ random))
-        _, _, v = np.linalg.svd(x @ random, full_matrices=False)
-        self.projection = np.ascontiguousarray((random @ v.T)[:, :k], np.float32)
-        self.vectors = _unit(x @ self.projection)
-
-    def weights(self, texts: list[dict[bytes, float]]) -> np.ndarray:
-        x, get = np.zeros((len(texts), len(self.term)), np.float32), self.term.get
-        for i, t in enumerate(texts):
-            at = [(j, w) for j, w in ((get(k), w) for k, w in t.items()) if j is not None]
-            if at:
-                j, w = zip(*at)
-                x[i, list(j)] = w
-        return _unit(x * self.idf)
-
-    def scores(self, texts: list[dict[bytes, float]]) -> np.ndarray:
+            basis, _ = np.linalg.qr(back(times(basis)))
+        _, _, v = np.linalg.svd(times(basis), full_matrices=False)
+        self.projection = np.ascontiguousarray((basis @ v.T)[:, :k], np.float32)
+        self.vectors = _unit(times(self.projection))
+
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         if self.projection is None:
             return np.full(len(texts), self.prior)
-        near = _unit(self.weights(texts) @ self.projection) @ self.vectors.T
+        latent = np.stack([(w * self.idf[t]) @ self.projection[t] for t, w in texts])
+        near = _unit(latent) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
         at = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
         weight = np.maximum(np.take_along_axis(near, at, axis=1), 0).astype(np.float64)
@@ -97,12 +111,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     def run(batches):
         for b in batches:
             found = [terms(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([list(x) for x in found], pa.list_(pa.binary())), pa.array([list(x.values()) for x in found], pa.list_(pa.float64()))], ["doc_id", "y", "t", "w"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([t.tobytes() for t, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["doc_id", "y", "t", "w"])
 
     sample = labelled(docs, labels, "quality", limit).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
-    rows = sample.mapInArrow(run, "doc_id long, y int, t array<binary>, w array<double>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.y, len(r.t)))
-    return Model([({bytes(t): w for t, w in zip(r.t, r.w)}, r.y) for r in rows])
+    rows = sample.mapInArrow(run, "doc_id long, y int, t binary, w binary").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.y))
+    return Model([(np.frombuffer(r.t, np.int32), np.frombuffer(r.w, np.float32), r.y) for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,18 +1,25 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 *Training.* From a bounded sample of labelled rows (MAX_LABELLED, chosen by a hash; held-out rows never), toxic and other
-documents are counted for each token. A token's score is the log-odds of the two counts under a Dirichlet prior with PRIOR
-times the token's count in both, plus FLOOR, less Z standard errors, so that rare tokens score low; tokens without evidence
-score DRIFT, below zero.
+documents are counted for each token. A token's log-odds of the two counts are those under a Dirichlet prior with PRIOR times the
+token's count in both, plus FLOOR, drawn Z standard errors towards zero. Tokens of toxic texts score what is left of them; all others, and those
+that the sample doesn't know, cost DRIFT, and tokens of clean texts what is left of theirs besides. Tokens of fewer than LEAST
+documents of the sample are unknown.
 
 *Segments.* The Ruzzo-Tompa scan, linear in the text, finds all maximal scoring segments. By extreme-value (Karlin-Altschul)
-statistics with the scores' frequencies in non-toxic documents, a segment of score S in a text of n tokens has E = K n exp(-L S); those
-with E <= SIGNIFICANT are significant. With L S - ln(K n) of the best segment, P = 1 - exp(-E) is the chance of one as good
-in a clean text. The score of a document is calibrated on the sample's labels: a logistic curve over the best segment's normalised score.
-The curve is fitted across folds: each half of the sample is measured by the tokens of the other, so that it holds for new texts.
+statistics a segment of score S in a clean text of n tokens has E = K n exp(-L S). L comes from the scores' frequencies in clean texts, K
+from the clean texts themselves: the best segments of N of them have their greatest likelihood at K = N / sum(n exp(-L S)). Segments with
+E <= SIGNIFICANT are significant.
+
+*Scores.* The segments of a text are taken together by Karlin and Altschul's sum statistic: P(r) = exp(-T) T ** (r - 1) / (r! (r - 1)!) for the r best,
+with T the sum of their L S - ln(K n), at a price of ln 2 for each segment after the first. A logistic curve over the least -ln P is
+fitted to the sample's labels. It and K are fitted across folds: each half of the sample is measured by the tokens of the other, so that they
+hold for new texts.
 
 Defined cases: an empty or null text has no segment and so the lowest score. Labels that are null are ignored. Repeated label rows count
-each. Without labelled rows of both kinds every score is 0. An empty table gives an empty result. Other columns are ignored.
+each; of documents with one doc_id the least text is the labelled one. Without labelled rows of both kinds, or where they don't tell
+toxic texts apart (no token scores above zero, the mean score of clean texts isn't below it, or the curve doesn't rise), every score is
+0. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +37,9 @@ from ._common import share as broadcast_value
 from .decontaminate import words_of
 
 MAX_LABELLED = 20_000
-MAX_TOKENS = 50_000
-PRIOR, FLOOR, Z, LEAST = 0.1, 0.5, 3.0, 3
+PRIOR, FLOOR, Z, LEAST = 0.1, 0.5, 2.0, 3
 DRIFT, SIGNIFICANT, THRESHOLD = -0.5, 0.01, 0.7
+LN2 = math.log(2)
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -63,20 +70,32 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
 
 
 class Model:
-    def __init__(self, scores: dict[bytes, float], rate: float, scale: float, slope: float, offset: float):
-        self.scores, self.rate, self.scale, self.slope, self.offset = scores, rate, scale, slope, offset
-
-    def normalised(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """The best segment's L S - ln(K n), and the significant segments (first word, end, E)."""
-        words = words_of(text)
-        if not words:
-            return -10.0, []
-        get = self.scores.get
+    def __init__(self, scores: dict[bytes, float], rate: float):
+        self.scores, self.rate, self.scale, self.slope, self.offset = scores, rate, 0.1, 1.0, 0.0
+
+    def segments(self, text: str | None) -> tuple[list[tuple[float, int, int]], int]:
+        """The maximal scoring segments (L S, first word, end), and the number of words, 1 at least."""
+        words, get = words_of(text), self.scores.get
         found = segments(np.fromiter((get(w, DRIFT) for w in words), np.float64, len(words)))
-        if not found:
-            return -10.0, []
-        space = math.log(self.scale * len(words))
-        return self.rate * max(found)[0] - space, [(s, e, math.exp(min(50.0, space - self.rate * x))) for x, s, e in found if space - self.rate * x <= math.log(SIGNIFICANT)]
+        return [(self.rate * x, s, e) for x, s, e in found], max(1, len(words))
+
+    def evidence(self, found: list[tuple[float, int, int]], n: int) -> float:
+        """The least -ln P of the r best segments; ln(1 / E) of none, held above -10, without any."""
+        space = math.log(self.scale * n)
+        best, total = max(-space, -10.0), 0.0
+        for r, x in enumerate(sorted((x - space for x, _, _ in found), reverse=True), 1):
+            if r > 1 and x <= 0:
+                break
+            total += x
+            p = total if r == 1 else total - (r - 1) * (math.log(max(total, 1e-9)) + LN2) + math.lgamma(r + 1) + math.lgamma(r)
+            best = max(best, p)
+        return best
+
+    def measured(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """The evidence, and the significant segments (first word, end, E)."""
+        found, n = self.segments(text)
+        space = math.log(self.scale * n)
+        return self.evidence(found, n), [(s, e, math.exp(space - x)) for x, s, e in found if space - x <= math.log(SIGNIFICANT)]
 
     def score(self, x: float) -> float:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * x + self.offset))))
@@ -121,10 +140,15 @@ def _token_counts(batches):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> DataFrame:
-    """(doc_id, text, y) of at most `limit` labelled rows that aren't held out, chosen by a hash."""
+    """(doc_id, text, y) of at most `limit` labelled rows that aren't held out, chosen by a hash.
+
+    Of documents with one doc_id the least text counts, so that repeated rows add nothing.
+    """
     known = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id", "y").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    texts = docs.select("doc_id", "text").join(F.broadcast(known.select("_id").distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
 
 
 def fit(tokens: DataFrame, folds: tuple[int, ...]) -> Model | None:
@@ -136,18 +160,22 @@ def fit(tokens: DataFrame, folds: tuple[int, ...]) -> Model | None:
     share = PRIOR * (F.col("d0") + F.col("d1")) + FLOOR
     whole = PRIOR * (docs0 + docs1) + FLOOR
     odds = lambda n, total: F.log((F.col(n) + share) / (F.lit(total) + whole - F.col(n) - share))
-    score = odds("d1", docs1) - odds("d0", docs0) - Z * F.sqrt(1 / (F.col("d1") + share) + 1 / (F.col("d0") + share))
-    kept = tokens.withColumn("score", score).filter((F.col("score") > 0) & (F.col("d1") >= LEAST)).orderBy(F.desc("score"), "token").limit(MAX_TOKENS)
+    raw = odds("d1", docs1) - odds("d0", docs0)
+    sure = F.greatest(F.lit(0.0), F.abs(raw) - Z * F.sqrt(1 / (F.col("d1") + share) + 1 / (F.col("d0") + share)))
+    kept = tokens.filter(F.col("d0") + F.col("d1") >= LEAST).withColumn("score", F.when(raw > 0, sure).otherwise(DRIFT - sure)).filter(sure > 0)
     rows = kept.select("token", "score", "n0").collect()
     scores = {bytes(r.token): float(r.score) for r in rows}
     values = np.array([DRIFT, *scores.values()])
-    seen = np.array([0.0, *(r.n0 + 0.5 for r in rows)])
-    seen[0] = all0 - seen.sum()
-    return Model(scores, _rate(values, seen / seen.sum()), 0.1, 1.0, 0.0)
+    seen = np.array([max(0, all0 - sum(r.n0 for r in rows)), *(r.n0 for r in rows)]) + FLOOR
+    seen /= seen.sum()
+    if values.max() <= 0 or float(np.sum(values * seen)) >= 0:
+        return None
+    return Model(scores, _rate(values, seen))
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model | None:
     sample = labelled(docs, labels, "toxic", limit).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
+    sample = cut(sample)
     tokens = cut(sample.mapInArrow(_token_counts, "token binary, y int, fold int, n long, d long").groupBy("token", "y", "fold").agg(F.sum("n").alias("n"), F.sum("d").alias("d")))
     model = fit(tokens, (0, 1))
     if model is None:
@@ -156,13 +184,21 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     measures = halves if all(halves) else [model, model]  # a half of one kind only measures nothing
 
     def measure(batches):
+        span = pa.list_(pa.float64())
         for b in batches:
-            rows = zip(b.column("text").to_pylist(), b.column("fold").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([measures[f].normalised(t)[0] for t, f in rows], pa.float64()), b.column("y")], ["x", "y"])
+            found = [measures[f].segments(t) for t, f in zip(b.column("text").to_pylist(), b.column("fold").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([[x for x, _, _ in s] for s, _ in found], span), pa.array([n for _, n in found], pa.int64()), b.column("y")], ["x", "n", "y"])
+
+    points = sample.mapInArrow(measure, "x array<double>, n long, y int").collect()
+    calibrate(model, [(list(r.x), r.n) for r in points], np.array([r.y for r in points], np.float64))
+    return model if model.slope > 0 else None
+
 
-    points = sample.mapInArrow(measure, "x double, y int").toPandas()
-    model.slope, model.offset = _logistic(points.x.to_numpy(), points.y.to_numpy(dtype=np.float64))
-    return model
+def calibrate(model: Model, texts: list[tuple[list[float], int]], toxic: np.ndarray) -> None:
+    """K from the clean texts' best segments, then the curve."""
+    clean = [n * math.exp(-max(x, default=0.0)) for (x, n), y in zip(texts, toxic) if not y]
+    model.scale = min(1.0, len(clean) / max(sum(clean), 1e-9)) if clean else model.scale
+    model.slope, model.offset = _logistic(np.array([model.evidence([(v, 0, 0) for v in x], n) for x, n in texts]), toxic)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -173,7 +209,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         m = shared()
         for b in batches:
-            found = [m.normalised(t) if m else (0.0, []) for t in b.column("text").to_pylist()]
+            found = [m.measured(t) if m else (0.0, []) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([m.score(x) if m else 0.0 for x, _ in found], pa.float64()), pa.array([[{"start": s, "end": e, "e": p} for s, e, p in spans] for _, spans in found], span)], ["doc_id", "score", "spans"]
             )
