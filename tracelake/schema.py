@@ -32,3 +32,6 @@ EDGES = T.StructType(
     ]
 )
 NODES = T.StructType([T.StructField("gid", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("method", T.LongType())])
+
+#: What a text spliced into SQL is called there, followed by its number.
+SPLICED = "SPLICED_TEXT_"
