@@ -11,21 +11,29 @@ KINDS = ("java", "xml", "sql")
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_id, kind, path, text, sha256): .java, .sql, and .xml with a mapper in it, sorted by kind and path."""
+    """(file_id, kind, path, text, content, sha256): .java, .sql, and .xml with a mapper in it, numbered by kind, folder and path."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{java,xml,sql}").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
-    f = raw.select(kind.alias("kind"), "path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
+    f = raw.select(kind.alias("kind"), "path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"), "content")
     f = f.filter((F.col("kind") != "xml") | F.contains("text", F.lit("<mapper")))
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    return f.withColumn("file_id", F.row_number().over(Window.orderBy(order, "path")) - 1).select("file_id", "kind", "path", "text", "sha256")
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    # Numbers in two levels, without the texts: within a folder, and over the folders before it.
+    names = f.select(rank.alias("rank"), "path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"))
+    folders = names.groupBy("rank", "folder").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("rank", "folder").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy("rank", "folder").orderBy("path"))
+    numbered = names.withColumn("i", inner).join(folders.select("rank", "folder", before.alias("before")), ["rank", "folder"])
+    ids = numbered.select("path", (F.col("before") + F.col("i") - 1).cast("int").alias("file_id"))
+    return f.join(ids, "path").select("file_id", "kind", "path", "text", "content", "sha256")
 
 
 def statements(text: str) -> list[tuple[int, int, int, str]]:
     """(number, UTF-8 byte offset, line, SQL) of the statements of a file.
 
-    They end at `;` outside quotes and comments; those of comments alone are dropped; `?` outside quotes becomes `:__b<n>`.
+    They end at `;` outside quotes and comments (a `;` in a comment ends nothing); those of comments alone are dropped but counted;
+    `?` outside quotes becomes `:__b<n>`.
     """
-    out, i, start, n = [], 0, 0, len(text)
+    out, i, start, n, number = [], 0, 0, len(text), 0
     while i <= n:
         c = text[i : i + 1]
         if c == "'":
@@ -39,9 +47,10 @@ def statements(text: str) -> list[tuple[int, int, int, str]]:
             i = n if end < 0 else end + 2
         elif c == ";" or not c:
             body = text[start:i]
+            number += 1
             if without_comments(body).strip():
                 first = start + len(body) - len(body.lstrip())
-                out.append((len(out) + 1, len(text[:first].encode()), text.count("\n", 0, first) + 1, number_binds(body.strip())))
+                out.append((number, len(text[:first].encode()), text.count("\n", 0, first) + 1, number_binds(body.strip())))
             i += 1
             start = i
         else:
