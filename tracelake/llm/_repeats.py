@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, pieces_of, with_row_ids
+from ._common import cut, discard, pieces_of, with_row_ids
 
 #: An anchor with more different pieces, or with more bytes of them, isn't sent to one shard.
 CROWD, CROWD_BYTES = 512, 1_000_000
@@ -332,7 +332,8 @@ def remove_repeats(docs: DataFrame, kind: type[Symbols], find, keep_first: bool,
     whole = copies.select("rid", F.struct("s", "nw", F.lit(True).alias("all"), F.lit(None).cast("array<int>").alias("offs")).alias("g"))
     single = (kinds if keep_first else kinds.filter("n = 1")).select("v", "ph", "first.*", "nw")
     some = single.join(found, ["v", "ph"]).select("rid", F.struct("s", "nw", F.lit(False).alias("all"), "offs").alias("g"))
-    gone = whole.union(some).groupBy("rid").agg(F.collect_list("g").alias("gone"))
+    gone = cut(whole.union(some).groupBy("rid").agg(F.collect_list("g").alias("gone")))
+    discard(repeated, kinds, need, contents)
     done = cand.select("rid", "text").join(gone, "rid").mapInArrow(*_apply(kind, with_text))
     return base.select("rid", "doc_id", "n", "sha").join(done, "rid", "left").select(
         "rid", "doc_id", "n", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha"), "kept"
