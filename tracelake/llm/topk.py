@@ -1,33 +1,37 @@
 """Exact top-k search by inner product, in three phases with a uniform threshold.
 
-Vectors are whole numbers; a score is the sum of the partial scores of SLICES slices of the dimensions. Queries are taken in
+Vectors are whole numbers; a score is the sum of the partial scores of two slices of the dimensions. Queries are taken in
 blocks of at most BLOCK rows, which alone are broadcast; each block is answered against all rows where these lie; only if ids repeat are rows moved before, to drop copies.
 
-1. *Gather.* Each task keeps, per query, the list of its k best scores. The lists are merged in two steps by query; the k-th best of
-   all is a safe cutoff: no row below it can be among the k best.
-2. *Collect.* The block's cutoffs are broadcast. An entry can reach the cutoff t only if one of its m slices reaches t / m, the uniform
-   threshold; entries without such a slice are passed over.
-3. *Resolve.* The remaining partial scores of the entries collected are added up exactly, and those that reach the cutoff are
-   returned. Of entries that equal it each task returns the k with the smallest ids, so that ties of any size stay small.
+1. *Gather.* Each task computes the first slice's scores of all its rows and keeps, per query, the list of its k best by them, whose
+   other scores it adds. The lists are merged in two steps by query; the k-th best whole score of these is a safe cutoff: k rows reach
+   it, so no row below it can be among the k best.
+2. *Collect.* The block's cutoffs are broadcast. Of an entry only the first slice's score is known; by Cauchy and Schwarz the other adds no more than the
+   product of the two lengths there. Entries whose bound doesn't reach the cutoff are passed over; the others are sufficient.
+3. *Resolve.* The second slice's scores are computed for the sufficient entries alone (in whole blocks where these are most of the block), and
+   those that reach the cutoff count. Each task returns its k best of them for each query, ties to the smaller id, so that neither ties nor a low
+   cutoff make many rows.
 
 Scores are exact: float32 products where every sum stays below 2 ** 24, float64 below 2 ** 53, whole numbers of any size otherwise (and then
 held to the range of long).
 
 Defined cases: vectors null, or holding null or non-finite components, take no part. Of vectors of unequal lengths the shorter ends in
-zeros. Ties go to the smaller vec_id. A row isn't its own candidate, nor is any row with its vec_id; rows repeated in full count once. A null
+zeros. Ties go to the smaller vec_id. A row isn't its own candidate, nor is any row with its vec_id; rows repeated in full count once. Queries with one vec_id are one question, whose candidates are ranked together. A null
 vec_id takes no part. Fewer candidates than k give all. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, share, table
+from ._common import cut, share, shared_dir, table
 
-K, EVERY, BLOCK, SLICES, GROUPS, ROWS = 20, 20, 4096, 2, 64, 2048
+K, EVERY, BLOCK, GROUPS, ROWS, DENSE = 20, 20, 4096, 64, 2048, 0.05
 
 
 def whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,15 +51,39 @@ def whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(keep, np.int64)[finite], np.floor(out[finite] * 64)
 
 
-def _partials(rows: np.ndarray, queries: np.ndarray) -> list[np.ndarray]:
-    """Exact products of rows and queries, by slice of the dimensions."""
-    d = max(rows.shape[1], queries.shape[1], 1)
-    rows, queries = (np.pad(x, ((0, 0), (0, d - x.shape[1]))) for x in (rows, queries))
-    most = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * d
-    cut = [d * i // SLICES for i in range(SLICES + 1)]
-    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
-    change = (lambda x: x.astype(kind)) if kind is not object else (lambda x: np.array([[int(y) for y in r] for r in x], object).reshape(x.shape))
-    return [change(rows[:, a:b]) @ change(queries[:, a:b]).T for a, b in zip(cut, cut[1:])]
+class Slices:
+    """Rows against queries: whole numbers in a type that holds every sum exactly, cut into two slices of the dimensions."""
+
+    def __init__(self, rows: np.ndarray, queries: np.ndarray):
+        d = max(rows.shape[1], queries.shape[1], 1)
+        rows, queries = (np.pad(x, ((0, 0), (0, d - x.shape[1]))) for x in (rows, queries))
+        most = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * d
+        kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
+        change = (lambda x: x.astype(kind)) if kind is not object else (lambda x: np.array([[int(y) for y in r] for r in x], object).reshape(x.shape))
+        half = -(-d // 2)
+        self.first, self.second = ((change(rows[:, at]), change(queries[:, at])) for at in (slice(0, half), slice(half, d)))
+        # Lengths, a little too long, so that rounding can't make a bound too low.
+        self.lengths = [np.sqrt((x[:, half:] ** 2).sum(axis=1)) * (1 + 1e-9) for x in (rows, queries)]
+
+    def known(self) -> np.ndarray:
+        """The first slice's scores of all rows and queries."""
+        return self.first[0] @ self.first[1].T
+
+    def rest(self, r: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The second slice's scores of some rows and queries."""
+        x, y = self.second
+        if not len(r) or not x.shape[1]:
+            return np.zeros(len(r), x.dtype)
+        if x.dtype == object or len(r) > DENSE * len(x) * len(y):
+            return (x @ y.T)[r, q]
+        out = np.empty(len(r), x.dtype)
+        for i in range(0, len(r), 65_536):
+            out[i : i + 65_536] = np.einsum("ij,ij->i", x[r[i : i + 65_536]], y[q[i : i + 65_536]])
+        return out
+
+    def bound(self) -> np.ndarray:
+        """The most that the second slice can add."""
+        return self.lengths[0][:, None] * self.lengths[1][None, :]
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -77,13 +105,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     rows, queries = keep(rows), keep(queries)
     rows, queries = _once(rows), _once(queries)
     n = queries.count()
-    blocks, out = max(1, -(-n * 5 // (BLOCK * 4))), None
+    blocks = max(1, -(-n * 5 // (BLOCK * 4)))
+    path = f"{shared_dir(spark)}/tracelake-{uuid.uuid4().hex}"  # one table for all blocks, so that their number doesn't weigh on the plan
     for block in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        ids, vectors = _collected(own)
-        found = _search(spark, rows, ids, vectors, k)
-        out = found if out is None else out.union(found)
+        ids, vectors = _collected(queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block))
+        _search(spark, rows, ids, vectors, k).write.mode("append").parquet(path)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = spark.read.schema("query_id long, vec_id long, score long").parquet(path)
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -110,9 +138,17 @@ def _search(spark: SparkSession, rows: DataFrame, ids: np.ndarray, vectors: np.n
         own, queries = shared()
         best = np.full((len(own), 0), low, np.int64)
         for row_ids, x in _blocks_of_rows(batches):
-            total = _long(sum(_partials(x, queries))).T
-            total[own[:, None] == row_ids[None, :]] = low
-            best = np.concatenate([best, total], axis=1)
+            both = Slices(x, queries)
+            known = both.known()
+            same = own[None, :] == row_ids[:, None]
+            least = known.astype(np.float64)
+            least[same] = -np.inf
+            m = min(k, len(row_ids))
+            r = np.argpartition(least, len(row_ids) - m, axis=0)[-m:]  # the best rows of each query, by the first slice
+            q = np.broadcast_to(np.arange(len(own)), r.shape)
+            score = _long(known[r, q] + both.rest(r.ravel(), q.ravel()).reshape(r.shape)).T
+            score[same[r, q].T] = low
+            best = np.concatenate([best, score], axis=1)
             if best.shape[1] > k:
                 best = np.partition(best, best.shape[1] - k, axis=1)[:, -k:]
         if best.shape[1]:
@@ -130,34 +166,30 @@ def _search(spark: SparkSession, rows: DataFrame, ids: np.ndarray, vectors: np.n
     def collect(batches):
         own, queries = shared()
         cut = limits()
-        ties: dict[int, list] = {}
+        kept = [np.empty(0, np.int64)] * 3  # query, id, score
         for row_ids, x in _blocks_of_rows(batches):
-            parts = _partials(x, queries)
-            # A score reaches the cutoff only if a slice reaches the uniform threshold.
-            enough = parts[0] >= cut / len(parts)
-            for p in parts[1:]:
-                enough |= p >= cut / len(parts)
-            r, q = np.nonzero(enough & (row_ids[:, None] != own[None, :]))
-            score = _long(sum(p[r, q] for p in parts))
-            over = score > cut[q]
-            yield _entries(own[q[over]], row_ids[r[over]], score[over])
-            even = np.flatnonzero(score == cut[q])
-            even = even[np.lexsort((row_ids[r[even]], q[even]))]
-            for j, ids_of in zip(*_grouped(q[even], row_ids[r[even]])):
-                ties[j] = np.sort(np.concatenate([ties.get(j, ids_of[:0]), ids_of]))[:k]
-        if ties:
-            sizes = [len(x) for x in ties.values()]
-            at = np.repeat(list(ties), sizes)
-            yield _entries(own[at], np.concatenate(list(ties.values())), cut[at])
+            both = Slices(x, queries)
+            known = both.known()
+            reach = known.astype(np.float64) + both.bound() * (1 + 1e-6) + 1
+            r, q = np.nonzero((reach >= cut.astype(np.float64)[None, :]) & (row_ids[:, None] != own[None, :]))
+            score = _long(known[r, q] + both.rest(r, q))
+            over = score >= cut[q]
+            new = q[over], row_ids[r[over]], score[over]
+            kept = _best([np.concatenate(z) for z in zip(kept, new)], k)
+        yield _entries(own[kept[0]], kept[1], kept[2])
 
     return rows.mapInArrow(collect, "query_id long, vec_id long, score long")
 
 
-def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    if not len(keys):
-        return [], []
-    turn = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-    return keys[np.concatenate([[0], turn])].tolist(), np.split(values, turn)
+def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of rows (query, id, score) the k of each query with the highest scores, ties to the smaller id."""
+    q, v, s = rows
+    order = np.lexsort((v, ~s, q))
+    q = q[order]
+    starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])[: len(q)])
+    turn = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    order = order[turn < k]
+    return [rows[0][order], v[order], s[order]]
 
 
 def _entries(q, v, s) -> pa.RecordBatch:
@@ -170,7 +202,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH v AS (SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings
+WITH v AS (SELECT DISTINCT vec_id, [floor(64 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
