@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -49,9 +50,43 @@ def test_simhash_edges(spark):
     assert simhash.keep_one_of_each(docs).count() == 3
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_LINKS", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)], "a long, b long")
     assert {r.node: r.root for r in simhash.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert simhash.components(edges.limit(0)).count() == 0
+
+
+def plain_fingerprint(text):
+    """Bit by bit, as the contract says."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_query_brute_force(spark, tmp_path):
+    """Texts of many shingles, near copies, capitals and other white space, against all pairs."""
+    rng = random.Random(6)
+    words = ["Aé", "b", "Cc", "dd", "e", "İ", "ß", "x\x0b", "y\u00a0z"]
+    texts = [None, "", "  ", "one", "One", "one two", "one two three"]
+    for _ in range(25):
+        base = [rng.choice(words) + str(rng.randrange(9)) for _ in range(rng.randint(3, 120))]
+        for _ in range(4):
+            own = list(base)
+            if rng.random() < 0.7:
+                own[rng.randrange(len(own))] += "!"
+            texts.append(rng.choice([" ", "\n", "\t "]).join(own))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op2_simhash(spark, str(tmp_path)).collect()}
+    fps, first = [plain_fingerprint(t) for t in texts], list(range(len(texts)))
+    for j in range(len(fps)):
+        for i in range(j):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+                a, b = sorted((first[i], first[j]))
+                first = [a if x == b else x for x in first]
+    assert found == {i: (f"{fp:016x}", c) for i, (fp, c) in enumerate(zip(fps, first))}
 
 
 def test_segments():
@@ -77,6 +112,49 @@ def test_labelled_models_on_edges(spark):
     assert {r.score for r in quality.score(docs, quality.train(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_toxicity_with_little_clean_text(spark):
+    """Six clean documents of a word: no model that calls clean texts toxic."""
+    docs = spark.createDataFrame([(i, f"bad worse worst {i}" if i < 60 else "fine") for i in range(66)] + [(900, "clean and plain words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 60)) for i in range(66)], "doc_id long, quality int, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert scores[900] < 0.7 and all(scores[i] < 0.7 for i in range(60, 66))
+
+
+def test_evidence_of_segments():
+    """One segment: ln(1 / E); two: the sum statistic, at a price; the curve follows the evidence."""
+    m = toxicity.Model({}, 1.0)
+    m.scale = 0.1
+    space = math.log(0.1 * 100)
+    assert m.evidence([], 100) == max(-space, -10) and m.evidence([(9.0, 0, 1)], 100) == pytest.approx(9.0 - space)
+    two = 16 - 2 * space
+    assert m.evidence([(9.0, 0, 1), (7.0, 3, 4)], 100) == pytest.approx(max(9 - space, two - math.log(two) - math.log(2) + math.log(2)))
+    toxicity.calibrate(m, [([9.0], 100), ([8.0], 100), ([], 100), ([1.0], 100)], np.array([1.0, 1.0, 0.0, 0.0]))
+    assert m.scale == pytest.approx(2 / (100 + 100 * math.exp(-1.0))) and m.score(5) > m.score(1)
+
+
+def test_vote_brute_force():
+    """The vote against plain cosines over the same latent vectors, and the decomposition against numpy's."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["red", "Green", "blue", "k9", "x-y", "|"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    rows = [(*quality.terms(t), i % 2) for i, t in enumerate(texts)]
+    m = quality.Model(rows)
+    x = np.zeros((60, quality.BUCKETS))
+    for i, (t, w, _) in enumerate(rows):
+        x[i, t] = w * m.idf[t]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    used = np.flatnonzero(x.any(axis=0))
+    assert np.linalg.norm(x[:, used] @ m.projection[used]) ** 2 == pytest.approx((np.linalg.svd(x[:, used], compute_uv=False)[: m.projection.shape[1]] ** 2).sum(), rel=1e-3)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    latent = [unit(v @ m.projection) for v in x]
+    want = []
+    for v in latent:
+        near = sorted(((float(v @ u), y) for u, (_, _, y) in zip(latent, rows)), reverse=True)[: quality.NEIGHBOURS]
+        total = sum(max(c, 0) for c, _ in near)
+        want.append(sum(max(c, 0) * y for c, y in near) / total if total > 1e-9 else m.prior)
+    found = m.scores([(t, w) for t, w, _ in rows])
+    assert np.mean(np.abs(found - want) < 0.05) > 0.9  # ties at the last neighbour may fall either way
+
+
 def test_contamination_blocks_and_edges(spark):
     words = [f"t{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, "A " + " ".join(words[:25])), (2, None), (3, "short item, yes"), (4, " ".join(words[30:45])), (4, ""), (None, "Short; ITEM")], "doc_id long, text string").withColumn("items", F.lit(0))

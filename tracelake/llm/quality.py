@@ -33,7 +33,7 @@ from .toxicity import labelled
 MAX_LABELLED, BUCKETS, DIMENSIONS, NEIGHBOURS, LEAST, THRESHOLD = 6_000, 65_536, 32, 25, 3, 0.5
 SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 RUNS = re.compile(rb"([aA0])\1+")
-CHUNK = 200_000
+CHUNK = 50_000
 
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +71,7 @@ class Model:
         self.prior = (sum(y for *_, y in rows) / len(rows)) if rows else 0.5
         self.labels = np.array([y for *_, y in rows], np.float32)
         at = np.concatenate([np.empty(0, np.int32), *(t for t, _, _ in rows)])
-        doc = np.repeat(np.arange(len(rows)), [len(t) for t, _, _ in rows])
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _, _ in rows])
         seen = np.bincount(at, minlength=BUCKETS)
         self.idf = np.where(seen >= LEAST, 1 + np.log(max(1, len(rows)) / np.maximum(seen, 1)), 0).astype(np.float32)
         weight = np.concatenate([np.empty(0, np.float32), *(w for _, w, _ in rows)]) * self.idf[at]

@@ -10,7 +10,8 @@ A segment value that more than HOT fingerprints share isn't looked up pair by pa
 with two of its 32 bits masked (496 masks), where a key has at most four fingerprints a side. That finds the same links with
 rows in proportion to the group.
 
-Connected groups come from alternating large-star and small-star steps over tables in the shared folder.
+Connected groups come from alternating large-star and small-star steps over tables in the shared folder; at most FEW_LINKS links are
+closed in one task.
 
 Defined cases: a null text or one without words has fingerprint 0 and links like any other. Texts shorter than a shingle
 count as one shingle. Rows with the same fingerprint, repeated rows among them, are in one group. A null doc_id is never the
@@ -31,6 +32,8 @@ from . import near_copies
 from ._common import LOWER, cut, discard, free_name, numbered, table, with_row_ids
 
 SHINGLE, RADIUS, HOT, SEED = 3, 2, 512, 42
+#: Links up to which groups are closed in one task instead of by rounds over tables.
+FEW_LINKS = 10_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -89,9 +92,29 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return out.distinct()
 
 
+def _closed(batches):
+    """All links (u, v) of a small table to (node, root)."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+            x, y = sorted((root(u), root(v)))
+            up[y] = x
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Pairs to (node, root): every node of a pair with the smallest node it is connected to."""
     edges = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    if edges.count() <= FEW_LINKS:
+        return edges.coalesce(1).mapInArrow(_closed, "node long, root long")
 
     def star(of: DataFrame) -> DataFrame:
         """of(u, v): each v to the smallest of u and all its v."""
