@@ -2,7 +2,7 @@
 
 Every traversal takes many starts at once: a start is a column of the frontier, so a whole estate is answered in one batch. Each
 layer is one join of the frontier with the edges by source, an anti join with what has been seen, and a table written to the
-shared folder.
+shared folder, whose rows are counted: a frontier with few rows is broadcast, so that the edges stay where they are.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import counted, cut
 from ..schema import COMMON, COMPARING, EDGE
+from .ranks import numbered_within
 
 
 def flip(edges: DataFrame) -> DataFrame:
@@ -57,18 +58,19 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """
     has_end = "terminal" in edges.columns
     seen = cut(seeds.select("start", "v", F.lit(0).alias("hop"), F.lit(False).alias("terminal")).distinct())
-    frontier, hop = seen, 0
-    while True:
+    frontier, hop = counted(seen), 0
+    while frontier is not None:
         hop += 1
-        step = frontier.filter(~F.col("terminal")).join(edges, F.col("v") == F.col("src")).select("start", F.col("dst").alias("v"), (F.col("terminal") if not has_end else edges.terminal).alias("terminal"))
+        step = edges.join(frontier.select("start", "v", F.col("terminal").alias("ended")), F.col("v") == F.col("src")).filter("not ended")
+        step = step.select("start", F.col("dst").alias("v"), F.col("terminal") if has_end else F.lit(False).alias("terminal"))
         new = step.groupBy("start", "v").agg(F.min("terminal").alias("terminal"))
         n, s = new.alias("n"), seen.alias("s")
         same = (F.col("n.start") == F.col("s.start")) & (F.col("n.v") == F.col("s.v"))
         known = same & (~F.col("s.terminal") | F.col("n.terminal")) if has_end else same  # a node seen as terminal is opened again once
-        frontier = cut(n.join(s, known, "left_anti").select("start", "v", F.lit(hop).alias("hop"), "terminal"))
-        if frontier.limit(1).count() == 0:
-            return seen.groupBy("start", "v").agg(F.min("hop").alias("hop"), F.min("terminal").alias("terminal")).select("start", "v", "hop", "terminal") if has_end else seen
-        seen = seen.unionByName(frontier)
+        found = cut(n.join(s, known, "left_anti").select("start", "v", F.lit(hop).alias("hop"), "terminal"))
+        frontier = counted(found)
+        seen = seen.unionByName(found)
+    return seen.groupBy("start", "v").agg(F.min("hop").alias("hop"), F.min("terminal").alias("terminal")).select("start", "v", "hop", "terminal") if has_end else seen
 
 
 def two_phase(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
@@ -105,8 +107,8 @@ def first_visits(edges: DataFrame, seeds: DataFrame, reverse: bool = False, min_
     call = (EDGE["ARG_IN"], EDGE["RET_OUT"]) if reverse else (EDGE["RET_OUT"], EDGE["ARG_IN"])
     for only in call:
         kinds = usable.filter(F.col("kind").isin(*COMMON, only, *([EDGE["CONTROL_FLOW"]] if control else [])))
-        frontier = seen
-        while True:
+        frontier = counted(seen)
+        while frontier is not None:
             out = frontier.filter(~F.col("terminal"))
             if endpoints is not None:
                 blocked = out.join(endpoints.select("v"), "v", "left_semi").filter("dist > 0").select("start", "v")
@@ -117,11 +119,12 @@ def first_visits(edges: DataFrame, seeds: DataFrame, reverse: bool = False, min_
             )
             best = step.join(seen, ["start", "v"], "left_anti").groupBy("start", "v").agg(F.min_by(F.struct("by", "parent", "dist", "via", "conf", "flags", "terminal"), "by").alias("x")).select("start", "v", "x.*")
             last = seen.groupBy("start").agg(F.max("ord").alias("last"))
-            numbered = best.join(last, "start").withColumn("ord", F.col("last") + F.row_number().over(Window.partitionBy("start").orderBy("by")))
-            frontier = cut(numbered.select(*shape))
-            if frontier.limit(1).count() == 0:
+            numbered = numbered_within(best, "start", "by", F.shiftright("by.parent_ord", 10)).join(last, "start").withColumn("ord", F.col("last") + F.col("turn"))
+            found = cut(numbered.select(*shape))
+            frontier = counted(found)
+            if frontier is None:
                 break
-            seen = seen.unionByName(frontier)
+            seen = seen.unionByName(found)
         seen = cut(seen)
     return seen
 
@@ -140,12 +143,20 @@ def path_of(visits: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def bottleneck(edges: DataFrame, seeds: DataFrame, confidences: int = 3) -> DataFrame:
-    """(start, v, conf): the least, over all paths, of the greatest confidence value on the path."""
-    out = None
-    for c in range(confidences):
-        r = reach(edges.filter(F.col("conf") <= c), seeds).select("start", "v", F.lit(c).alias("conf"))
-        out = r if out is None else out.unionByName(r)
-    return out.groupBy("start", "v").agg(F.min("conf").alias("conf"))
+    """(start, v, conf): the least, over all paths, of the greatest confidence value on the path.
+
+    One loop: a node is followed when it is found, and again whenever it is found with a smaller value.
+    """
+    seen = cut(seeds.select("start", "v", F.lit(0).alias("conf")).distinct())
+    frontier = counted(seen)
+    while frontier is not None:
+        step = edges.select("src", "dst", F.col("conf").alias("edge_conf")).filter(F.col("edge_conf") < confidences).join(frontier, F.col("v") == F.col("src"))
+        best = step.groupBy("start", F.col("dst").alias("v")).agg(F.min(F.greatest("conf", "edge_conf")).alias("conf"))
+        known = seen.groupBy("start", "v").agg(F.min("conf").alias("was"))
+        found = cut(best.join(known, ["start", "v"], "left").filter("was is null or conf < was").select("start", "v", "conf"))
+        frontier = counted(found)
+        seen = seen.unionByName(found)
+    return seen.groupBy("start", "v").agg(F.min("conf").alias("conf"))
 
 
 def flag_sets(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -154,24 +165,28 @@ def flag_sets(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     frontier = seen
     while True:
         step = frontier.join(edges, F.col("v") == F.col("src")).select("start", F.col("dst").alias("v"), F.col("fl").bitwiseOR(F.col("flags")).alias("fl")).distinct()
-        frontier = cut(step.join(seen, ["start", "v", "fl"], "left_anti"))
-        if frontier.limit(1).count() == 0:
+        found = cut(step.join(seen, ["start", "v", "fl"], "left_anti"))
+        frontier = counted(found)
+        if frontier is None:
             return seen.groupBy("start", "v").agg(F.bit_or(F.expr("shiftleft(1, fl)")).alias("combos"))
-        seen = seen.unionByName(frontier)
+        seen = seen.unionByName(found)
 
 
 def callers(calls: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, v, dist, conf) of all that call targets(v), nearest first; confidence of the first visit's least path."""
     seen = cut(targets.select(F.col("v").alias("target"), "v", F.lit(0).alias("dist"), F.lit(0).alias("conf")).distinct())
-    frontier, n = seen, 0
+    frontier, n = counted(seen), 0
+    if frontier is None:
+        return seen
     while True:
         n += 1
         step = frontier.join(calls, F.col("v") == F.col("callee")).select("target", F.col("caller").alias("v"), F.greatest("conf", "call_conf").alias("conf"))
         new = step.groupBy("target", "v").agg(F.min("conf").alias("conf"))
-        frontier = cut(new.join(seen, ["target", "v"], "left_anti").select("target", "v", F.lit(n).alias("dist"), "conf"))
-        if frontier.limit(1).count() == 0:
+        found = cut(new.join(seen, ["target", "v"], "left_anti").select("target", "v", F.lit(n).alias("dist"), "conf"))
+        frontier = counted(found)
+        if frontier is None:
             return seen.filter("dist > 0")
-        seen = seen.unionByName(frontier)
+        seen = seen.unionByName(found)
 
 
 def offsets(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -50,9 +50,9 @@ def statements_of(sources: DataFrame, java: dict[str, DataFrame]) -> DataFrame:
     return cut(x.select(names).unionByName(j.select(names)).unionByName(q.select(names)))
 
 
-def index(spark: SparkSession, path: str, catalog: DataFrame | None = None, packs: tuple = ()) -> Project:
-    """The graph of a source tree."""
-    sources = cut(files.source_files(spark, path))
+def index(spark: SparkSession, tree: str | DataFrame, catalog: DataFrame | None = None, packs: tuple = ()) -> Project:
+    """The graph of a source tree: a path, or rows as files.source_files() gives them."""
+    sources = cut(files.source_files(spark, tree) if isinstance(tree, str) else tree)
     java = java_flow.extract(sources.filter("kind = 'java'"), packs)
     classes, fields, methods = java["class"].dropDuplicates(["name"]), java["field"], java["method"].dropDuplicates(["sig"])
     statements = statements_of(sources, java)
@@ -116,6 +116,39 @@ def index(spark: SparkSession, path: str, catalog: DataFrame | None = None, pack
     return Project(node, edges, m, call_edge, summary, cut(java["endpoint"]), cut(java["problem"]), cut(java["node"]), cut(java["edge"]))
 
 
+TABLES = ("node", "edge", "method", "call_edge", "summary", "endpoint", "problem", "l2_node", "l2_edge")
+VERSION = 1
+
+
+def save(project: Project, path: str) -> None:
+    """Writes a project: a table each, edges by kind and sorted by source, what is inside methods sorted by method, and the version."""
+    spark = project.node.sparkSession
+    for name in TABLES:
+        df = getattr(project, name)
+        if name == "edge":
+            df.repartitionByRange("kind", "src").sortWithinPartitions("kind", "src", "ord").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/edge")
+        else:
+            df = df.repartitionByRange("sig").sortWithinPartitions("sig") if name.startswith("l2_") else df
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+    counts = project.edge.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.lit(project.node.count()).alias("nodes"))
+    counts.withColumn("version", F.lit(VERSION)).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load(spark: SparkSession, path: str) -> Project:
+    """A project that save() wrote; another version is an error. Readers prune edges by kind, and methods by their ranges of sig."""
+    found = [r.version for r in spark.read.parquet(f"{path}/meta").select("version").distinct().collect()]
+    if found not in ([VERSION], []):
+        raise ValueError(f"version {found} of {path} isn't {VERSION}")
+    return Project(**{n: spark.read.parquet(f"{path}/{n}") for n in TABLES})
+
+
+def memory_estimate(project: Project) -> DataFrame:
+    """(nodes, edges, kinds, bytes): 17 bytes a node, 8 for each of its places in the offsets of every kind, 10 an edge."""
+    n = project.node.agg(F.count(F.lit(1)).alias("nodes"))
+    e = project.edge.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("kind").alias("kinds"))
+    return n.join(F.broadcast(e)).withColumn("bytes", 17 * F.col("nodes") + 8 * (F.col("nodes") + 1) * F.col("kinds") + 10 * F.col("edges"))
+
+
 # Lookups
 
 def column_starts(project: Project, questions: DataFrame) -> DataFrame:

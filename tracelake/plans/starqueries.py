@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import graph
+from ..operators.ranks import nearest_ranks
 from .tables import cut, small, table
 
 ID = {"region": 100000000, "nation": 200000000, "customer": 300000000, "order": 400000000, "part": 500000000, "supplier": 600000000}
@@ -333,13 +334,8 @@ def recall_precision(spark, d):
 SELECT event_type, max(value) FILTER (WHERE i = n // 2 + 1) AS p50, max(value) FILTER (WHERE i = CAST(ceil(n * 0.95::DOUBLE) AS BIGINT)) AS p95, max(value) FILTER (WHERE i = CAST(ceil(n * 0.99::DOUBLE) AS BIGINT)) AS p99, max(value) AS most FROM r GROUP BY event_type""",
 )
 def latency_percentiles(spark, d):
-    """Nearest rank: the upper median, and place ceil(n * p). Counts by value come first, so that no task holds all rows of a type."""
-    v = table(spark, d, "events").filter("value is not null").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("event_type")
-    v = v.withColumn("to", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
-    at = lambda i: F.min(F.when(F.col("to") >= i, F.col("value")))
-    n = F.col("n")
-    return v.groupBy("event_type").agg(at(F.floor(n / 2) + 1).alias("p50"), at(F.ceil(n * F.lit(0.95))).alias("p95"), at(F.ceil(n * F.lit(0.99))).alias("p99"), F.max("value").alias("most"))
+    """Nearest rank: the upper median, and place ceil(n * p)."""
+    return nearest_ranks(table(spark, d, "events"), "event_type", "value", {"p50": lambda n: F.floor(n / 2) + 1, "p95": lambda n: F.ceil(n * F.lit(0.95)), "p99": lambda n: F.ceil(n * F.lit(0.99))})
 
 
 @query(

@@ -19,9 +19,13 @@ def _named(names: tuple[str, ...], column: str):
     return F.element_at(F.array(*map(F.lit, names)), F.col(column).cast("int") + 1)
 
 
+#: Types of columns that aren't strings.
+TYPES = {"distance": "int", "implicit": "boolean", "control": "boolean", "path_id": "int", "line": "int", "seq": "int", "node_gid": "long", "gid": "long", "lid": "int", "is_start": "boolean", "level": "int", "byte_offset": "int"}
+
+
 def write(df: DataFrame, columns: tuple[str, ...], path: str) -> None:
-    """df with exactly these columns; those it lacks are null."""
-    df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.mode("overwrite").parquet(path)
+    """df with exactly these columns, in their types; those it lacks are null."""
+    df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(TYPES.get(c, "string")).alias(c) for c in columns)).write.mode("overwrite").parquet(path)
 
 
 def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
