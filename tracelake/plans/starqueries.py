@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import graph
+from ..operators import graph, linking
 from ..operators.ranks import nearest_ranks
+from ..sources import catalog
 from .tables import cut, small, table
 
 ID = {"region": 100000000, "nation": 200000000, "customer": 300000000, "order": 400000000, "part": 500000000, "supplier": 600000000}
@@ -247,9 +248,12 @@ def degree_stats(spark, d):
     "WITH k AS (SELECT 1 AS c, r_regionkey AS key FROM region UNION ALL SELECT 2, n_nationkey FROM nation UNION ALL SELECT 3, c_custkey FROM customer UNION ALL SELECT 6, s_suppkey FROM supplier) SELECT c * 100000000 + key AS gid, row_number() OVER (ORDER BY c, key) - 1 AS id FROM k",
 )
 def dense_ids(spark, d):
-    parts = [table(spark, d, t).select(_gid(k, c).alias("gid")) for t, k, c in (("region", "region", "r_regionkey"), ("nation", "nation", "n_nationkey"), ("customer", "customer", "c_custkey"), ("supplier", "supplier", "s_suppkey"))]
-    nodes = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    return graph.offsets(nodes.select(F.col("gid").alias("src")), nodes).select("gid", F.col("off").alias("id"))
+    kinds = (("region", "region", "r_regionkey"), ("nation", "nation", "n_nationkey"), ("customer", "customer", "c_custkey"), ("supplier", "supplier", "s_suppkey"))
+    nodes = None
+    for t, k, c in kinds:
+        x = table(spark, d, t).select(_gid(k, c).cast("string").alias("key"), F.lit(str(ID[k])).alias("sig"), F.lit(0).alias("rank"), F.col(c).cast("long").alias("place"))
+        nodes = x if nodes is None else nodes.union(x)
+    return linking.dense_ids(nodes).select(F.col("key").cast("long").alias("gid"), F.col("gid").alias("id"))
 
 
 @query(
@@ -257,41 +261,56 @@ def dense_ids(spark, d):
     "SELECT o_orderkey, l_linenumber AS arg, least(l_linenumber, length(o_orderpriority) - 4) AS param, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
 )
 def arg_pairs(spark, d):
-    """Arguments meet parameters by position; surplus ones the last (as many parameters as the priority's name is long, less four)."""
+    """Orders as calls of a method per priority, with as many parameters as its name is long, less four; lines as arguments."""
     o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
-    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("l_linenumber").alias("arg"), F.least("l_linenumber", F.length("o_orderpriority") - 4).alias("param"), "l_partkey")
+    lines = l.groupBy(F.col("l_orderkey").alias("sig")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("actual_in"))
+    calls = lines.select(F.col("sig").cast("string").alias("sig"), F.lit(0).alias("ord"), "actual_in", F.lit(False).alias("has_receiver"))
+    targets = o.select(F.col("o_orderkey").cast("string").alias("sig"), F.lit(0).alias("ord"), F.col("o_orderpriority").alias("callee"), F.lit(0).alias("conf"))
+    methods = o.select(F.col("o_orderpriority").alias("sig")).distinct().withColumn("formals", F.transform(F.sequence(F.lit(1), F.length("sig") - 4), lambda i: i.cast("string"))).withColumn("has_this", F.lit(False))
+    end = lambda c: F.substring_index(c, "|", -1).cast("int")
+    pairs = linking.argument_pairs(calls, targets, methods).select(F.col("sig").cast("long").alias("o_orderkey"), end("actual").alias("arg"), end("formal").alias("param"))
+    return pairs.join(l.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("arg"), "l_partkey"), ["o_orderkey", "arg"])
 
 
 @query(
     "di_resolution",
-    """WITH c AS (SELECT n_nationkey, s_suppkey, s_acctbal > 0 AS bean, s_suppkey % 5 = n_regionkey AS named FROM nation JOIN supplier ON s_nationkey = n_nationkey),
-b AS (SELECT *, bool_or(named) OVER (PARTITION BY n_nationkey) AS any_named FROM c WHERE bean), k AS (SELECT * FROM b WHERE named OR NOT any_named)
-SELECT n_nationkey AS receiver, s_suppkey AS target, CASE WHEN count(*) OVER (PARTITION BY n_nationkey) = 1 THEN 1 ELSE 2 END AS conf FROM k""",
+    """WITH c AS (SELECT n_nationkey AS n, s_suppkey AS s, s_acctbal > 0 AS bean, s_suppkey % 5 = n_regionkey AS named FROM nation JOIN supplier ON s_nationkey = n_nationkey),
+f AS (SELECT *, bool_or(bean) OVER (PARTITION BY n) AS some FROM c), b AS (SELECT *, bool_or(named AND some AND bean) OVER (PARTITION BY n) AS any_named FROM f WHERE bean OR NOT some),
+k AS (SELECT * FROM b WHERE NOT any_named OR named)
+SELECT n AS receiver, s AS target, CASE WHEN count(*) OVER (PARTITION BY n) = 1 THEN 1 ELSE 2 END AS conf FROM k""",
 )
 def di_resolution(spark, d):
-    """Implementors that are beans, narrowed by qualifier where one matches; one hit is RESOLVED, several are HEURISTIC."""
+    """Nations as interfaces with an injected field each, suppliers as classes that implement them; those in the black are beans."""
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
-    c = s.join(small(n), F.col("s_nationkey") == F.col("n_nationkey")).filter("s_acctbal > 0").withColumn("named", F.col("s_suppkey") % 5 == F.col("n_regionkey"))
-    some = c.groupBy("n_nationkey").agg(F.max("named").alias("some"), F.count(F.lit(1)).alias("all"), F.count_if("named").alias("hits"))
-    kept = c.join(small(some), "n_nationkey").filter("named or not some")
-    return kept.select(F.col("n_nationkey").alias("receiver"), F.col("s_suppkey").alias("target"), F.when(F.when(F.col("some"), F.col("hits")).otherwise(F.col("all")) == 1, 1).otherwise(2).alias("conf"))
+    iface, impl = F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    none = F.array().cast("array<string>")
+    classes = n.select(iface.alias("name"), F.lit("interface").alias("kind"), F.lit("").alias("extends"), none.alias("implements"), F.lit(False).alias("bean"), F.lit("").alias("bean_name"))
+    own = s.select(impl.alias("name"), F.lit("class").alias("kind"), F.lit("").alias("extends"), F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("implements"), (F.col("s_acctbal") > 0).alias("bean"), F.concat(F.lit("q"), (F.col("s_suppkey") % 5).cast("string")).alias("bean_name"))
+    classes = cut(classes.unionByName(own))
+    method = lambda x, abstract: x.select(F.concat("name", F.lit("#go()")).alias("sig"), F.col("name").alias("class"), F.lit("go").alias("name"), F.lit(abstract).alias("abstract"), F.lit(False).alias("synthetic"), F.array(F.lit("0")).alias("formal_in"))
+    methods = method(classes.filter("kind = 'class'"), False).unionByName(method(classes.filter("kind = 'interface'"), True))
+    fields = n.select(F.lit("user").alias("class"), iface.alias("name"), F.lit(True).alias("injected"), F.concat(F.lit("q"), F.col("n_regionkey").cast("string")).alias("qualifier"))
+    calls = n.select(iface.alias("sig"), F.lit(0).alias("ord"), F.array(F.concat(iface, F.lit("#go()"))).alias("candidates"), F.lit(0).alias("conf"), F.lit("go").alias("name"), iface.alias("receiver_type"), F.lit("VIRTUAL").alias("kind"), F.concat(F.lit("user."), iface).alias("field"), F.array(F.lit(0)).alias("actual_in"))
+    found = linking.resolve_calls(calls, methods, classes, fields, linking.supertypes(classes.select("name", "extends", "implements")))
+    number = lambda c: F.regexp_extract(c, r"^[ns](\d+)", 1).cast("int")
+    return found.filter(F.col("callee").startswith("s")).select(number("sig").alias("receiver"), number("callee").cast("long").alias("target"), "conf")
 
 
 @query(
     "catalog_resolve",
-    """WITH k AS (SELECT c_mktsegment AS s, c_nationkey AS n, min(c_custkey) AS exact FROM customer GROUP BY ALL), u AS (SELECT s, count(*) AS c, min(exact) AS only FROM k WHERE n < 13 GROUP BY s)
-SELECT p_partkey, CASE WHEN k.exact IS NOT NULL THEN 1 WHEN u.c = 1 THEN 2 ELSE 3 END AS step, coalesce(k.exact, CASE WHEN u.c = 1 THEN u.only END) AS hit
-FROM (SELECT p_partkey, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD', 'NONE'][CAST(p_partkey % 6 AS INTEGER) + 1] AS s, p_size AS n FROM part) p LEFT JOIN k ON k.s = p.s AND k.n = p.n LEFT JOIN u ON u.s = p.s""",
+    """WITH t AS (SELECT DISTINCT 'D' || (c_nationkey % 3) AS ds, 'S' || c_nationkey AS sc, c_mktsegment AS tab FROM customer),
+p AS (SELECT p_partkey AS ref, 'D' || (p_size % 3) AS data_source, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'S' || p_size END AS schema, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD', 'NONE'][CAST(p_partkey % 6 AS INTEGER) + 1] AS tab FROM part),
+j AS (SELECT p.*, ds, sc, ds = data_source AND sc = schema AS a, ds = data_source AND (sc = schema OR schema = '') AS b, sc = schema AND schema <> '' AS c, schema = '' AND ds IS NOT NULL AS d FROM p LEFT JOIN t USING (tab)),
+g AS (SELECT ref, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE b) AS nb, count(*) FILTER (WHERE c) AS nc, count(*) FILTER (WHERE d) AS nd, max(ds || '.' || sc) FILTER (WHERE a) AS ha, max(ds || '.' || sc) FILTER (WHERE b) AS hb, max(ds || '.' || sc) FILTER (WHERE c) AS hc, max(ds || '.' || sc) FILTER (WHERE d) AS hd FROM j GROUP BY ref)
+SELECT ref, CASE WHEN na = 1 THEN 1 WHEN nb = 1 THEN 2 WHEN nc = 1 THEN 3 WHEN nd = 1 THEN 4 END AS step, CASE WHEN na = 1 THEN ha WHEN nb = 1 THEN hb WHEN nc = 1 THEN hc WHEN nd = 1 THEN hd END AS hit FROM g""",
 )
 def catalog_resolve(spark, d):
-    """Exact key first, then the name alone where it is unique."""
-    keys = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("s"), F.col("c_nationkey").alias("n")).agg(F.min("c_custkey").alias("exact"))
-    unique = keys.filter("n < 13").groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("exact").alias("only"))
+    c = table(spark, d, "customer")
+    tables = c.select(F.concat(F.lit("D"), (F.col("c_nationkey") % 3).cast("string")).alias("data_source"), F.concat(F.lit("S"), F.col("c_nationkey").cast("string")).alias("schema"), F.col("c_mktsegment").alias("table"))
     segments = F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD", "NONE")))
-    p = table(spark, d, "part").select("p_partkey", F.element_at(segments, (F.col("p_partkey") % 6 + 1).cast("int")).alias("s"), F.col("p_size").alias("n"))
-    j = p.join(small(keys), ["s", "n"], "left").join(small(unique), "s", "left")
-    step = F.when(F.col("exact").isNotNull(), 1).when(F.col("c") == 1, 2).otherwise(3)
-    return j.select("p_partkey", step.alias("step"), F.coalesce("exact", F.when(F.col("c") == 1, F.col("only"))).alias("hit"))
+    schema = F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat(F.lit("S"), F.col("p_size").cast("string")))
+    refs = table(spark, d, "part").select(F.col("p_partkey").alias("ref"), F.concat(F.lit("D"), (F.col("p_size") % 3).cast("string")).alias("data_source"), schema.alias("schema"), F.element_at(segments, (F.col("p_partkey") % 6 + 1).cast("int")).alias("table"))
+    return catalog.resolve(refs, tables).select("ref", "step", F.concat_ws(".", "ds", "sc").alias("hit")).withColumn("hit", F.when(F.col("step").isNotNull(), F.col("hit")))
 
 
 @query(
