@@ -9,7 +9,7 @@ from tracelake.sources import catalog, files
 
 def test_statements():
     text = "-- é\nselect 'a;?' from t where x = ?;\n/* only; a comment */;\ninsert into u values (?, ?)"
-    assert files.statements(text) == [(1, 0, 1, "-- é\nselect 'a;?' from t where x = :__b0"), (2, 62, 4, "insert into u values (:__b0, :__b1)")]
+    assert files.statements(text) == [(1, 0, 1, "-- é\nselect 'a;?' from t where x = :__b0"), (3, 62, 4, "insert into u values (:__b0, :__b1)")]
 
 
 def test_source_tree(spark, tmp_path):

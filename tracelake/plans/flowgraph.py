@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..schema import BRANCHES, EDGE
+from .impact import method_starts
 from .tables import cut
 
 #: Calls inside calls that an expansion follows.
@@ -158,11 +159,12 @@ def expanded_calls(project, pairs: DataFrame, depth: int = MAX_DEPTH) -> DataFra
     return out if out is not None else pairs.select("src", "dst", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).alias("kind"), F.lit(0).alias("level")).limit(0)
 
 
-def call_graph(project, items: DataFrame) -> DataFrame:
-    """method_items() to the calls between them and their targets: (query_id, caller, callee, label), the label `L<line>`."""
-    methods = items.filter("type <> 'ENDPOINT'").select("query_id", "target")
+def call_graph(project, questions: DataFrame, items: DataFrame) -> DataFrame:
+    """The calls that method_items() follow: (query_id, caller, callee, label), between its callers and to the methods asked for, the label `L<line>`."""
+    callers = items.filter("type <> 'ENDPOINT'").select("query_id", F.col("target").alias("caller"))
+    callees = callers.select("query_id", F.col("caller").alias("callee")).union(method_starts(project, questions).select("query_id", F.col("sig").alias("callee"))).distinct()
     calls = project.call_edge.select("caller", "callee", F.concat(F.lit("L"), F.col("line").cast("string")).alias("label"))
-    return calls.join(methods.withColumnRenamed("target", "caller"), "caller").select("query_id", "caller", "callee", "label").distinct()
+    return calls.join(callers, "caller").join(callees, ["query_id", "callee"], "left_semi").select("query_id", "caller", "callee", "label").distinct()
 
 
 def components(calls: DataFrame) -> DataFrame:

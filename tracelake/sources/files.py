@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,19 +13,22 @@ KINDS = ("java", "xml", "sql")
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_id, kind, path, text, content, sha256): .java, .sql, and .xml with a mapper in it, numbered by kind, folder and path."""
+    """(file_id, kind, path, text, content, sha256): .java, .sql, and .xml with a mapper in it, numbered by kind and path."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{java,xml,sql}").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
     f = raw.select(kind.alias("kind"), "path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"), "content")
     f = f.filter((F.col("kind") != "xml") | F.contains("text", F.lit("<mapper")))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    # Numbers in two levels, without the texts: within a folder, and over the folders before it.
-    names = f.select(rank.alias("rank"), "path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"))
-    folders = names.groupBy("rank", "folder").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("rank", "folder").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = F.row_number().over(Window.partitionBy("rank", "folder").orderBy("path"))
-    numbered = names.withColumn("i", inner).join(folders.select("rank", "folder", before.alias("before")), ["rank", "folder"])
-    ids = numbered.select("path", (F.col("before") + F.col("i") - 1).cast("int").alias("file_id"))
+    # Numbers in two levels, without the texts: among paths that begin alike beyond what all share, and over such beginnings.
+    names = f.select(rank.alias("rank"), "path")
+    ends = names.agg(F.min("path"), F.max("path")).first()
+    shared = len(os.path.commonprefix([x or "" for x in ends]))
+    names = names.withColumn("head", F.substring("path", 1, shared + 4))
+    heads = names.groupBy("rank", "head").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("rank", "head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy("rank", "head").orderBy("path"))
+    ids = names.withColumn("i", inner).join(heads.select("rank", "head", before.alias("before")), ["rank", "head"])
+    ids = ids.select("path", (F.col("before") + F.col("i") - 1).cast("int").alias("file_id"))
     return f.join(ids, "path").select("file_id", "kind", "path", "text", "content", "sha256")
 
 
