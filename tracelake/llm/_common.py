@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,9 +52,29 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracelake_path = path
+    written(spark, path)
     return out
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def written(spark: SparkSession, path: str) -> None:
+    """Has a table deleted when the program ends, if its session is still there then."""
+    _WRITTEN.append((spark, path))
+
+
+@atexit.register
+def _delete_written() -> None:
+    for spark, path in _WRITTEN:
+        if spark.sparkContext._jsc is not None:
+            try:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            except (Py4JError, OSError):  # the session has ended meanwhile
+                return
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes tables that cut() wrote, once nothing lazy reads them any more."""
     for df in frames:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, share, shared_dir, table
+from ._common import cut, share, shared_dir, table, written
 
 K, EVERY, BLOCK, GROUPS, ROWS, DENSE = 20, 20, 4096, 64, 2048, 0.05
 
@@ -107,6 +107,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     n = queries.count()
     blocks = max(1, -(-n * 5 // (BLOCK * 4)))
     path = f"{shared_dir(spark)}/tracelake-{uuid.uuid4().hex}"  # one table for all blocks, so that their number doesn't weigh on the plan
+    written(spark, path)
     for block in range(blocks):
         ids, vectors = _collected(queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block))
         _search(spark, rows, ids, vectors, k).write.mode("append").parquet(path)

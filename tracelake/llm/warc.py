@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from ._common import cut, table, with_row_ids
 
 FANOUT_BITS, RANGE_BITS = 4, 10
+#: Pages don't say when they were read; records must.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def records(pages: DataFrame) -> DataFrame:
     keyed = with_row_ids(pages.select(F.col("page_id").alias("doc_id"), "url", "html"), "url", "html")
     body = F.coalesce("html", F.lit(""))
     head = F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+        F.lit(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
         F.lit(">\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     return keyed.select(F.col("rid").alias("n"), F.col("doc_id").alias("page_id"), head.alias("head"), body.alias("body"))
@@ -97,7 +99,7 @@ def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH r AS (SELECT page_id AS n, page_id,
-    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) ||
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) ||
     'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) ||
     'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) AS head, coalesce(html, '') AS body FROM pages),
 e AS (SELECT *, chr(13) || chr(10) || chr(13) || chr(10) AS tail,
