@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,25 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df once and reads it back; iterations call this for every layer so that plans stay small."""
     path = f"{shared_dir(df.sparkSession)}/layer-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _delete_written() -> None:
+    """Deletes what cut() wrote when the program ends, if the session is still there then."""
+    for spark, path in _WRITTEN:
+        if spark.sparkContext._jsc is not None:
+            try:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            except (Py4JError, OSError):  # the session has ended meanwhile
+                return
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it is counted to be small, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
