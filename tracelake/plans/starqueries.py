@@ -258,24 +258,23 @@ def dense_ids(spark, d):
 
 @query(
     "arg_pairs",
-    "SELECT o_orderkey, l_linenumber AS arg, least(l_linenumber, length(o_orderpriority) - 4) AS param, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+    "WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey, CAST(i AS INTEGER) AS arg, CAST(least(i, length(o_orderpriority) - 4) AS INTEGER) AS param FROM orders JOIN n ON o_orderkey = l_orderkey, unnest(range(1, n + 1)) AS t(i)",
 )
 def arg_pairs(spark, d):
     """Orders as calls of a method per priority, with as many parameters as its name is long, less four; lines as arguments."""
     o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
-    lines = l.groupBy(F.col("l_orderkey").alias("sig")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("actual_in"))
+    lines = l.groupBy(F.col("l_orderkey").alias("sig")).agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("actual_in", F.sequence(F.lit(1), F.col("n")))
     calls = lines.select(F.col("sig").cast("string").alias("sig"), F.lit(0).alias("ord"), "actual_in", F.lit(False).alias("has_receiver"))
     targets = o.select(F.col("o_orderkey").cast("string").alias("sig"), F.lit(0).alias("ord"), F.col("o_orderpriority").alias("callee"), F.lit(0).alias("conf"))
     methods = o.select(F.col("o_orderpriority").alias("sig")).distinct().withColumn("formals", F.transform(F.sequence(F.lit(1), F.length("sig") - 4), lambda i: i.cast("string"))).withColumn("has_this", F.lit(False))
     end = lambda c: F.substring_index(c, "|", -1).cast("int")
-    pairs = linking.argument_pairs(calls, targets, methods).select(F.col("sig").cast("long").alias("o_orderkey"), end("actual").alias("arg"), end("formal").alias("param"))
-    return pairs.join(l.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("arg"), "l_partkey"), ["o_orderkey", "arg"])
+    return linking.argument_pairs(calls, targets, methods).select(F.col("sig").cast("long").alias("o_orderkey"), end("actual").alias("arg"), end("formal").alias("param"))
 
 
 @query(
     "di_resolution",
     """WITH c AS (SELECT n_nationkey AS n, s_suppkey AS s, s_acctbal > 0 AS bean, s_suppkey % 5 = n_regionkey AS named FROM nation JOIN supplier ON s_nationkey = n_nationkey),
-f AS (SELECT *, bool_or(bean) OVER (PARTITION BY n) AS some FROM c), b AS (SELECT *, bool_or(named AND some AND bean) OVER (PARTITION BY n) AS any_named FROM f WHERE bean OR NOT some),
+f AS (SELECT *, bool_or(bean) OVER (PARTITION BY n) AS any_bean FROM c), b AS (SELECT *, bool_or(named AND any_bean AND bean) OVER (PARTITION BY n) AS any_named FROM f WHERE bean OR NOT any_bean),
 k AS (SELECT * FROM b WHERE NOT any_named OR named)
 SELECT n AS receiver, s AS target, CASE WHEN count(*) OVER (PARTITION BY n) = 1 THEN 1 ELSE 2 END AS conf FROM k""",
 )
