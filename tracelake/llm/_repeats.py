@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._common import cut, discard, pieces_of, with_row_ids
 
 #: An anchor with more different pieces, or with more bytes of them, isn't sent to one shard.
-CROWD, CROWD_BYTES = 512, 1_000_000
+CROWD, CROWD_BYTES = 2048, 1_000_000
 SHARD_BYTES = 500_000
 #: The most keys that a join broadcasts because very many rows have them, and the fewest rows of such a key.
 HOT_KEYS, LEAST_HOT = 10_000, 1_000
@@ -343,7 +343,7 @@ def remove_repeats(docs: DataFrame, kind: type[Symbols], find, keep_first: bool,
 def _crowded(contents: DataFrame, kind: type[Symbols], need: DataFrame, keep_first: bool) -> DataFrame:
     """The repeated windows of pieces whose anchor has too many different ones for a shard: (v, ph, offs)."""
     found, todo = None, contents.withColumn("todo", F.lit(None).cast("array<struct<first:int,last:int>>"))
-    for size in BLOCKS:
+    for size in (b for b in BLOCKS if b < 2 * (kind.length - kind.gram + 1)):  # larger ones hold all windows of an anchor
         blocks = cut(todo.select("v", "ph", "rid", "s", "nw", "content", "todo").mapInArrow(*_blocks(kind, size)))
         cores = blocks.groupBy("v", "core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         wholes = blocks.groupBy("v", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "first")).alias("least")).filter("c > 1")
