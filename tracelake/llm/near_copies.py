@@ -11,10 +11,10 @@ a pair is missed with one of about two in a million (one in 100,000; one in 2,00
 the logarithm of the number of texts, which keeps tables at about 256 unlike texts a value, and the number of segments with the widths.
 
 Most of a large group is linked first through FIRST = 16 segments, where a text meets only the nearest before it that differs in at most
-CLOSE = 24 places; then all segments are tried, with all pairs that aren't yet connected. Values under which more than MANY = 4 pairs a
-text are candidates are crowded: their texts meet again with whole fingerprints, in chunks of CHUNK rows, and a pair is a candidate, in the
-first segment that it shares, if its 2,048 bits or more agree to SIGMAS = 4.6 standard deviations. What is emitted are such pairs, of texts not yet
-connected; in a large group of texts that are all a little less similar than 0.8 they still grow with its square.
+CLOSE = 24 places; then all segments are tried, with all pairs that aren't yet connected. Values under which more than MANY = 3 pairs a
+text are candidates are crowded: their texts meet again with whole fingerprints, in chunks of CHUNK rows, each pair in the first segment
+that it shares. These pairs, and those of other values, are compared in full if all 2,048 bits or more agree to SIGMAS = 4.6 standard
+deviations. In a large group of texts that are all a little less similar than 0.8 such pairs still grow with its square.
 
 Defined cases: null texts and texts without words are copies of each other. Texts shorter than a shingle count as one shingle. An empty
 table gives an empty result. Other columns are ignored.
@@ -40,7 +40,7 @@ COMPARED, NEAR, CLOSE, FIRST, WORDS = 2, 40, 24, 16, 32
 DIFFER, MISS = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi, 12.2
 WIDTH, VALUES = 12, 256
 #: Pairs a text from which a value is crowded; rows of a chunk; standard deviations by which whole fingerprints may differ more.
-MANY, CHUNK, SIGMAS = 4, 2048, 4.6
+MANY, CHUNK, SIGMAS = 3, 2048, 4.6
 #: Ids that may be broadcast.
 IDS = 200_000
 LANES = np.uint64(0x0101010101010101)
@@ -213,6 +213,15 @@ def agreeing(fp: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.
     return np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= bits * p + SIGMAS * np.sqrt(bits * p * (1 - p))
 
 
+def _agreeing(batches):
+    """(a, b, n_a, n_b, fp_a, fp_b) to the pairs (a, b) that whole fingerprints leave open."""
+    for b in batches:
+        if b.num_rows:
+            n = np.concatenate([b.column(c).to_numpy() for c in ("n_a", "n_b")])
+            fp, i = np.concatenate([_words(b.column(c)) for c in ("fp_a", "fp_b")]), np.arange(b.num_rows)
+            yield b.select(["a", "b"]).filter(pa.array(agreeing(fp, n, i, i + b.num_rows)))
+
+
 def _crowds(width: int, segments: int):
     """(key, p, q, rid, root, n, part, fp), sorted by key, p and q, to pairs (a, b), a < b, of parts p and q."""
 
@@ -277,6 +286,11 @@ def groups(docs: DataFrame) -> DataFrame:
         entries = rows.select("rid", "root", "n", "fp").mapInArrow(_entries(width, segments), "key long, rid long, root long, n long, x long, y long")
         return kept(entries.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_meetings(nearest, MANY), "key long, a long, b long"))
 
+    def open_(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(rows.select(*(F.col(x).alias(f"{x}_{c}") for x in ("rid", "n", "fp"))), F.col(c) == F.col(f"rid_{c}"))
+        return pairs.select("a", "b", "n_a", "n_b", "fp_a", "fp_b").mapInArrow(_agreeing, "a long, b long")
+
     links = verified(kept(met(nodes.withColumn("root", F.col("rid")), min(FIRST, segments), True).select("a", "b").distinct()))
     rows = kept(nodes.join(components(links), F.col("rid") == F.col("node"), "left").select("rid", F.coalesce("root", "rid").alias("root"), "n", "fp"))
     found = met(rows, segments, False)
@@ -285,7 +299,7 @@ def groups(docs: DataFrame) -> DataFrame:
     crowd = crowd.join(sizes, "key").join(rows, "rid").withColumn("part", F.pmod(F.xxhash64("rid"), "parts"))
     crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
     crowd = crowd.select("key", "p", "q", "rid", "root", "n", "part", "fp").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    pairs = pairs.union(crowd.mapInArrow(_crowds(width, segments), "a long, b long"))
+    pairs = open_(kept(pairs.distinct()), rows).union(crowd.mapInArrow(_crowds(width, segments), "a long, b long"))
     links = links.union(verified(kept(pairs.distinct())))
     known = sets.join(components(links), "node", "left").select("same", F.coalesce("root", "node").alias("first"))
     out = cut(base.select("rid", "same").join(known, "same").select("rid", "first"))
