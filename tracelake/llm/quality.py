@@ -6,7 +6,7 @@ n ** 0.8 / 2 different ones that a text of n words has at least (words of invent
 into BUCKETS buckets and weigh the square root of their share times the inverse document frequency.
 
 A truncated singular value decomposition of at most MAX_LABELLED labelled texts (chosen by a hash; held-out rows never) gives DIMENSIONS
-latent dimensions. The labelled vectors, at most MAX_LABELLED x DIMENSIONS float32, and the projection, BUCKETS x DIMENSIONS, are
+latent dimensions, in one task; the driver only gets the result. The labelled vectors, at most MAX_LABELLED x DIMENSIONS float32, and the projection, BUCKETS x DIMENSIONS, are
 broadcast. Every document's exact cosines with all of them are computed in blocks, and the NEIGHBOURS nearest vote with their labels,
 each with its cosine as weight. Buckets of fewer than LEAST labelled texts weigh nothing.
 
@@ -17,6 +17,7 @@ labelled one. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from operator import eq
@@ -108,15 +109,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
+    """The model of at most limit labelled texts, made by one task: the decomposition takes some 200 MB that a driver may not have."""
+
     def run(batches):
         for b in batches:
             found = [terms(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([t.tobytes() for t, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["doc_id", "y", "t", "w"])
 
+    def fit(batches):
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[:2])
+        model = Model([(np.frombuffer(t, np.int32), np.frombuffer(w, np.float32), y) for _, y, t, w in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], ["model"])
+
     sample = labelled(docs, labels, "quality", limit).select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
-    rows = sample.mapInArrow(run, "doc_id long, y int, t binary, w binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.y))
-    return Model([(np.frombuffer(r.t, np.int32), np.frombuffer(r.w, np.float32), r.y) for r in rows])
+    found = sample.mapInArrow(run, "doc_id long, y int, t binary, w binary").repartition(1).mapInArrow(fit, "model binary").collect()
+    model = Model([])
+    if found:
+        vars(model).update(pickle.loads(found[0].model))
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from ._common import LOWER, cut, discard, free_name, numbered, table, with_row_ids
+from ._common import LOWER, cut, discard, free_name, numbered, small, table, with_row_ids
 
 SHINGLE, RADIUS, HOT, SEED = 3, 2, 512, 42
 #: Links up to which groups are closed in one task instead of by rounds over tables.
@@ -147,11 +147,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, hot: int = HOT) -> Dat
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that have the smallest doc_id of their group of near copies; of repeated rows one stays."""
+    """The documents that have the smallest doc_id of their group of near copies; of repeated rows one stays.
+
+    The ids that go are broadcast if they are at most IDS, so that whole documents stay where they are; otherwise these are shuffled once.
+    """
     rid = free_name(docs, "_rid")
     rows = numbered(docs, rid)
-    firsts = near_copies.groups(rows.select(F.col(rid).alias("rid"), "text")).filter("rid = first").select(F.col("rid").alias(rid))
-    return rows.join(firsts, rid, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = near_copies.groups(rows.select(F.col(rid).alias("rid"), "text")).filter("rid <> first").select(F.col("rid").alias(rid))
+    return rows.join(small(gone, near_copies.IDS), rid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
