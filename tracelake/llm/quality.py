@@ -6,9 +6,9 @@ n ** 0.8 / 2 different ones that a text of n words has at least (words of invent
 into BUCKETS buckets and weigh the square root of their share times the inverse document frequency.
 
 A truncated singular value decomposition of at most MAX_LABELLED labelled texts (chosen by a hash; held-out rows never) gives DIMENSIONS
-latent dimensions, in one task; the driver only gets the result. The labelled vectors, at most MAX_LABELLED x DIMENSIONS float32, and the projection, BUCKETS x DIMENSIONS, are
-broadcast. Every document's exact cosines with all of them are computed in blocks, and the NEIGHBOURS nearest vote with their labels,
-each with its cosine as weight. Buckets of fewer than LEAST labelled texts weigh nothing.
+latent dimensions, in one task; the driver only gets the result. The labelled vectors, at most MAX_LABELLED x DIMENSIONS float32, and
+the projection, BUCKETS x DIMENSIONS, are broadcast. Every document's exact cosines with all of them are computed in blocks, and the
+NEIGHBOURS nearest vote with their labels, each with its cosine as weight. Buckets of fewer than LEAST labelled texts weigh nothing.
 
 Defined cases: null and empty texts have no terms, a zero vector and so the share of good labels as score; so has everything if no
 labels are known (0.5). Null labels are ignored. Repeated label rows count each; of documents with one doc_id the least text is the
