@@ -1,16 +1,17 @@
 """Filters, aggregations, traversals and fixpoints over edge tables.
 
-Every traversal takes many starts at once: a start is a column of the frontier, so a whole estate is answered in one batch. Each
-layer is one join of the frontier with the edges by source, an anti join with what has been seen, and a table written to the
-shared folder, whose rows are counted: a frontier with few rows is broadcast, so that the edges stay where they are.
+Every traversal takes many starts at once: a start is a column of the frontier, or a bit of a mask there, so a whole estate is answered
+in one batch. Each layer is one join of the frontier with the edges by source, one shuffle with what has been seen, and a table written
+to the shared folder, whose rows are counted: a frontier with few rows is broadcast, so that the edges stay where they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ..plans.tables import counted, cut
+from ..plans.tables import BROADCAST_ROWS, counted, cut, dealt
 from ..schema import COMMON, COMPARING, EDGE
 from .ranks import numbered_within
 
@@ -51,26 +52,72 @@ def traversable(edges: DataFrame, min_conf: int = 2, implicit: bool = True, cont
     return edges.filter(F.col("conf") <= min_conf).withColumn("flags", flags).filter("flags is not null")
 
 
+def _packed(seeds: DataFrame) -> DataFrame:
+    """seeds(start, v) as (g, v, bits): 64 neighbouring starts share a row, each is a bit; starts that aren't whole numbers have one row each."""
+    if isinstance(seeds.schema["start"].dataType, IntegralType):
+        start = F.col("start").cast("long")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), start.bitwiseAND(63).cast("int"))
+        seeds = seeds.select(F.shiftright(start, 6).alias("g"), "v", F.coalesce(bit, F.lit(1).cast("long")).alias("bits"))
+    else:
+        seeds = seeds.select(F.col("start").alias("g"), "v", F.lit(1).cast("long").alias("bits"))
+    return seeds.groupBy("g", "v").agg(F.bit_or("bits").alias("bits"))
+
+
+def _has(bits: str) -> Column:
+    return F.call_function("shiftright", F.col(bits), F.col("bit")).bitwiseAND(1) == 1
+
+
+def _unpacked(packed: DataFrame, bits: str, seeds: DataFrame, *columns: Column) -> DataFrame:
+    """Rows of _packed() as (start, v, *columns), start as in seeds; `bit` is the start's place in the masks, for columns that test them."""
+    kind = seeds.schema["start"].dataType
+    whole = isinstance(kind, IntegralType)
+    rows = packed.withColumn("bit", F.explode(F.array(*map(F.lit, range(64 if whole else 1))))).filter(_has(bits))
+    return rows.select((F.shiftleft("g", 6) + F.col("bit")).cast(kind).alias("start") if whole else F.col("g").alias("start"), "v", *columns)
+
+
+def _layers(edges: DataFrame, seen: DataFrame, passed: dict[str, Column], live: str | None = None, opening: DataFrame | None = None) -> DataFrame:
+    """(g, v, hop, *passed): per layer, the bits of each mask that a node gets for the first time, from those in seen(g, v, *passed).
+
+    passed: what an edge hands on to each mask, of the masks that its source got in the layer before. Only rows with bits in the mask
+    `live`, or in any, are followed, in the first layer over the edges `opening` if given. One shuffle adds up what is new and what is known.
+    """
+    some = " or ".join(f"{m} <> 0" for m in passed)
+    follow = f"{live} <> 0" if live else some
+    spark, zero = edges.sparkSession, F.lit(0).cast("long")
+    size = edges.count()
+    seen = cut(seen.select("g", "v", F.lit(0).alias("hop"), *passed))
+    total = n = seen.count()
+    frontier, hop = seen, 0
+    while n:
+        hop += 1
+        with dealt(spark, size + total):
+            out = frontier.filter(follow).select("g", "v", *passed)
+            over = opening if opening is not None and hop == 1 else edges
+            step = over.join(F.broadcast(out) if n <= BROADCAST_ROWS else out, F.col("v") == F.col("src"))
+            step = step.select("g", F.col("dst").alias("v"), *(x.alias(m) for m, x in passed.items()), *(zero.alias(f"was_{m}") for m in passed))
+            known = seen.select("g", "v", *(zero.alias(m) for m in passed), *(F.col(m).alias(f"was_{m}") for m in passed))
+            both = step.unionByName(known).groupBy("g", "v").agg(*(F.bit_or(c).alias(c) for m in passed for c in (m, f"was_{m}")))
+            new = both.select("g", "v", F.lit(hop).alias("hop"), *(F.col(m).bitwiseAND(F.bitwise_not(f"was_{m}")).alias(m) for m in passed))
+            frontier = cut(new.filter(some))
+        n = frontier.filter(follow).count()
+        total += frontier.count()
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(start, v, hop) of all that seeds(start, v) reach over edges(src, dst[, terminal]).
 
     Terminal edges reach their target but aren't followed from it unless another edge reaches it in the same or a later layer.
     """
-    has_end = "terminal" in edges.columns
-    seen = cut(seeds.select("start", "v", F.lit(0).alias("hop"), F.lit(False).alias("terminal")).distinct())
-    frontier, hop = counted(seen), 0
-    while frontier is not None:
-        hop += 1
-        step = edges.join(frontier.select("start", "v", F.col("terminal").alias("ended")), F.col("v") == F.col("src")).filter("not ended")
-        step = step.select("start", F.col("dst").alias("v"), F.col("terminal") if has_end else F.lit(False).alias("terminal"))
-        new = step.groupBy("start", "v").agg(F.min("terminal").alias("terminal"))
-        n, s = new.alias("n"), seen.alias("s")
-        same = (F.col("n.start") == F.col("s.start")) & (F.col("n.v") == F.col("s.v"))
-        known = same & (~F.col("s.terminal") | F.col("n.terminal")) if has_end else same  # a node seen as terminal is opened again once
-        found = cut(n.join(s, known, "left_anti").select("start", "v", F.lit(hop).alias("hop"), "terminal"))
-        frontier = counted(found)
-        seen = seen.unionByName(found)
-    return seen.groupBy("start", "v").agg(F.min("hop").alias("hop"), F.min("terminal").alias("terminal")).select("start", "v", "hop", "terminal") if has_end else seen
+    packed = _packed(seeds)
+    if "terminal" not in edges.columns:
+        return _unpacked(_layers(edges, packed, {"bits": F.col("bits")}), "bits", seeds, F.col("hop"))
+    passed = {"bits": F.col("open"), "open": F.when(F.col("terminal"), 0).otherwise(F.col("open"))}
+    seen = _layers(edges, packed.withColumn("open", F.col("bits")), passed, "open")
+    with dealt(edges.sparkSession, seen.count()):
+        seen = cut(seen.withColumn("open", F.bit_or("open").over(Window.partitionBy("g", "v"))).filter("bits <> 0"))
+    return _unpacked(seen, "bits", seeds, F.col("hop"), (~_has("open")).alias("terminal"))
 
 
 def two_phase(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
@@ -78,10 +125,14 @@ def two_phase(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> Data
     first, second = (EDGE["ARG_IN"], EDGE["RET_OUT"]) if reverse else (EDGE["RET_OUT"], EDGE["ARG_IN"])
     if reverse:
         edges = flip(edges)
-    one = reach(edges.filter(F.col("kind").isin(*COMMON, first)), seeds)
-    two = reach(edges.filter(F.col("kind").isin(*COMMON, second)), one.select("start", "v"))
+    bits = {"bits": F.col("bits")}
+    one = _layers(edges.filter(F.col("kind").isin(*COMMON, first)), _packed(seeds), bits)
+    with dealt(edges.sparkSession, one.count()):
+        start = cut(one.groupBy("g", "v").agg(F.bit_or("bits").alias("bits")))
+    # phase one has followed all other edges from these nodes
+    two = _layers(edges.filter(F.col("kind").isin(*COMMON, second)), start, bits, opening=edges.filter(F.col("kind") == second))
     both = one.withColumn("phase", F.lit(1)).unionByName(two.filter("hop > 0").withColumn("phase", F.lit(2)))
-    return both.select("start", "v", "phase", "hop")
+    return _unpacked(both, "bits", seeds, F.col("phase"), F.col("hop"))
 
 
 def first_visits(edges: DataFrame, seeds: DataFrame, reverse: bool = False, min_conf: int = 2, implicit: bool = True, control: bool = False, endpoints: DataFrame | None = None, columns: DataFrame | None = None) -> DataFrame:

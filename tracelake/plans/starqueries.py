@@ -48,9 +48,10 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def arcs(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct (kind, src, dst, terminal), written once for the traversals."""
-    return cut(edges(spark, d).groupBy("kind", "src", "dst").agg((F.max("clause") > 0).alias("terminal")))
+def arcs(spark: SparkSession, d: str, *kinds: int) -> DataFrame:
+    """(kind, src, dst, terminal) of all kinds or those named, written once; traversals take a node once, so repeated edges stay."""
+    e = edges(spark, d).filter(F.col("kind").isin(*kinds)) if kinds else edges(spark, d)
+    return cut(e.select("kind", "src", "dst", (F.col("clause") > 0).alias("terminal")))
 
 
 def _nations(spark, d):
@@ -142,7 +143,7 @@ h AS (SELECT s, v, 0 AS hop FROM ({REGIONS}) UNION SELECT h.s, d.b, h.hop + 1 FR
 SELECT s AS start, v, min(hop) AS hop FROM h GROUP BY s, v""",
 )
 def slice_hops(spark, d):
-    back = graph.flip(arcs(spark, d).drop("terminal").filter(F.col("kind").isin(1, 2, 8, 9)))
+    back = graph.flip(arcs(spark, d, 1, 2, 8, 9).drop("terminal"))
     return graph.reach(back, _regions(spark, d)).select("start", "v", "hop")
 
 
@@ -154,7 +155,7 @@ SELECT s AS start, v, bool_and(t) AS terminal FROM h GROUP BY s, v""",
 )
 def slice_terminal(spark, d):
     starts = table(spark, d, "orders").select(_gid("order", "o_orderkey").alias("start"), _gid("order", "o_orderkey").alias("v"))
-    return graph.reach(arcs(spark, d).filter(F.col("kind").isin(3, 8)).select("src", "dst", "terminal"), starts).select("start", "v", "terminal")
+    return graph.reach(arcs(spark, d, 3, 8).select("src", "dst", "terminal"), starts).select("start", "v", "terminal")
 
 
 def _kind_of(v="v"):
@@ -201,7 +202,7 @@ h AS (SELECT 500000000 + p_partkey AS s, 500000000 + p_partkey AS v, 0 AS dist F
 SELECT s AS target, v, min(dist) AS dist, CASE WHEN min(dist) = 1 THEN 'DIRECT_CALLER' ELSE 'INDIRECT_CALLER' END AS type FROM h WHERE dist > 0 GROUP BY s, v""",
 )
 def method_impact(spark, d):
-    calls = arcs(spark, d).filter(F.col("kind").isin(1, 2)).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.lit(0).alias("call_conf"))
+    calls = arcs(spark, d, 1, 2).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.lit(0).alias("call_conf"))
     found = graph.callers(calls, table(spark, d, "part").select(_gid("part", "p_partkey").alias("v")))
     return found.select("target", "v", "dist", F.when(F.col("dist") == 1, "DIRECT_CALLER").otherwise("INDIRECT_CALLER").alias("type"))
 
@@ -221,7 +222,7 @@ b AS (SELECT 200000000 + n_nationkey AS v FROM nation WHERE n_regionkey = 1 UNIO
 SELECT v FROM f INTERSECT SELECT v FROM b""",
 )
 def fwd_bwd_intersection(spark, d):
-    e = arcs(spark, d).filter(F.col("kind").isin(1, 3, 8) & ~F.col("terminal")).select("src", "dst")
+    e = arcs(spark, d, 1, 3, 8).filter(~F.col("terminal")).select("src", "dst")
     one = F.lit(0).alias("start")
     f = graph.reach(e, table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(one, _gid("customer", "c_custkey").alias("v")))
     b = graph.reach(graph.flip(e), table(spark, d, "nation").filter("n_regionkey = 1").select(one, _gid("nation", "n_nationkey").alias("v")))

@@ -6,12 +6,16 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
+#: Rows of a join's or aggregation's inputs for one task.
+TASK_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +70,15 @@ def counted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
     """A table that cut() wrote: None if it is empty, marked for broadcast if it has few rows, else as it is."""
     n = df.count()
     return None if not n else F.broadcast(df) if n <= rows else df
+
+
+@contextmanager
+def dealt(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside shuffles into the session's count of partitions, or more where so many rows would make larger tasks than TASK_ROWS."""
+    key = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(was), -(-rows // TASK_ROWS))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
