@@ -1,5 +1,7 @@
 """Traversals of many starts: the size of their tables, and of their tasks."""
 
+import random
+
 import pytest
 
 from tracelake.operators import graph
@@ -35,6 +37,33 @@ def test_starts_that_reach_the_same_share_rows(spark, written):
     assert max(n for n, _ in written) <= 3
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_bottleneck_equals_paths(spark, written, kind):
+    rng = random.Random(5)
+    rows = [(rng.randrange(12), rng.randrange(12), rng.randrange(4)) for _ in range(40)]
+    starts = [-65, -1, 0, 63, 64, 127] if kind == "long" else list("abcdef")
+    want = {}
+    for i, s in enumerate(starts):
+        for c in (2, 1, 0):
+            seen, todo = {i}, [i]
+            while todo:
+                v = todo.pop()
+                new = {b for a, b, w in rows if a == v and w <= c} - seen
+                seen |= new
+                todo += new
+            want |= {(s, v): c for v in seen}
+    seeds = spark.createDataFrame([(s, i) for i, s in enumerate(starts)], f"start {kind}, v long")
+    found = graph.bottleneck(spark.createDataFrame(rows, "src long, dst long, conf int"), seeds)
+    assert {(r.start, r.v): r.conf for r in found.collect()} == want
+
+
+def test_bottleneck_starts_share_rows(spark, written):
+    edges = spark.createDataFrame([(0, 1, 2), (1, 2, 0), (2, 0, 1), (0, 2, 1)], "src long, dst long, conf int")
+    seeds = spark.createDataFrame([(s, 0) for s in range(40)], "start long, v long")
+    assert {(r.start, r.v, r.conf) for r in graph.bottleneck(edges, seeds).collect()} == {(s, v, c) for s in range(40) for v, c in ((0, 0), (1, 2), (2, 1))}
+    assert max(n for n, _ in written) <= 3
+
+
 def test_more_rows_are_dealt_to_more_tasks(spark, written, monkeypatch):
     monkeypatch.setattr(tables, "TASK_ROWS", 5, raising=False)
     before = spark.conf.get("spark.sql.shuffle.partitions")

@@ -196,18 +196,16 @@ def path_of(visits: DataFrame, targets: DataFrame) -> DataFrame:
 def bottleneck(edges: DataFrame, seeds: DataFrame, confidences: int = 3) -> DataFrame:
     """(start, v, conf): the least, over all paths, of the greatest confidence value on the path.
 
-    One loop: a node is followed when it is found, and again whenever it is found with a smaller value.
+    One loop: mask c of a node holds the starts that reach it over edges with values up to c.
     """
-    seen = cut(seeds.select("start", "v", F.lit(0).alias("conf")).distinct())
-    frontier = counted(seen)
-    while frontier is not None:
-        step = edges.select("src", "dst", F.col("conf").alias("edge_conf")).filter(F.col("edge_conf") < confidences).join(frontier, F.col("v") == F.col("src"))
-        best = step.groupBy("start", F.col("dst").alias("v")).agg(F.min(F.greatest("conf", "edge_conf")).alias("conf"))
-        known = seen.groupBy("start", "v").agg(F.min("conf").alias("was"))
-        found = cut(best.join(known, ["start", "v"], "left").filter("was is null or conf < was").select("start", "v", "conf"))
-        frontier = counted(found)
-        seen = seen.unionByName(found)
-    return seen.groupBy("start", "v").agg(F.min("conf").alias("conf"))
+    masks = [f"up_to_{c}" for c in range(confidences)]
+    steps = edges.select("src", "dst", F.col("conf").alias("edge_conf")).filter(F.col("edge_conf") < confidences)
+    passed = {m: F.when(F.col("edge_conf") <= c, F.col(m)).otherwise(0) for c, m in enumerate(masks)}
+    seen = _layers(steps, _packed(seeds).select("g", "v", *(F.col("bits").alias(m) for m in masks)), passed)
+    with dealt(edges.sparkSession, seen.count()):
+        seen = cut(seen.groupBy("g", "v").agg(*(F.bit_or(m).alias(m) for m in masks)))
+    least = F.coalesce(*(F.when(_has(m), c) for c, m in enumerate(masks)))
+    return _unpacked(seen, masks[-1], seeds, least.alias("conf"))
 
 
 def flag_sets(edges: DataFrame, seeds: DataFrame) -> DataFrame:

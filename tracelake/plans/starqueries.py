@@ -179,8 +179,8 @@ h AS (SELECT s, v, c FROM ({NATIONS}), c UNION SELECT h.s, d.b, h.c FROM h JOIN
 SELECT s AS start, v, min(c) AS conf FROM h GROUP BY s, v""",
 )
 def bottleneck_conf(spark, d):
-    least = cut(edges(spark, d).filter(F.col("kind").isin(1, 3, 8, 9)).groupBy("kind", "src", "dst").agg(F.min("conf").alias("conf")))
-    return graph.bottleneck(least, _nations(spark, d))
+    steps = cut(edges(spark, d).filter(F.col("kind").isin(1, 3, 8, 9)).select("src", "dst", "conf"))
+    return graph.bottleneck(steps, _nations(spark, d))
 
 
 @query(
