@@ -70,4 +70,9 @@ def test_more_rows_are_dealt_to_more_tasks(spark, written, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1, i % 3 == 0) for i in range(60)], "src long, dst long, terminal boolean")
     graph.reach(edges, spark.createDataFrame([(i, i) for i in range(3)], "start long, v long")).collect()
     assert max(p for _, p in written) >= 12
+    written.clear()
+    calls = edges.selectExpr("src AS caller", "dst AS callee", "0 AS call_conf")
+    graph.callers(calls.filter("caller > 57"), spark.createDataFrame([(60,)], "v long")).collect()
+    graph.callers(calls.filter("caller < 60").repartition(1), spark.createDataFrame([(2,)], "v long")).collect()
+    assert max(p for _, p in written) >= 12
     assert spark.conf.get("spark.sql.shuffle.partitions") == before

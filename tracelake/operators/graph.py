@@ -210,11 +210,13 @@ def bottleneck(edges: DataFrame, seeds: DataFrame, confidences: int = 3) -> Data
 
 def flag_sets(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(start, v, combos): the set of flag combinations with which each node can be reached, as four bits."""
+    spark, size = edges.sparkSession, edges.count()
     seen = cut(seeds.select("start", "v", F.lit(0).alias("fl")).distinct())
     frontier = seen
     while True:
-        step = frontier.join(edges, F.col("v") == F.col("src")).select("start", F.col("dst").alias("v"), F.col("fl").bitwiseOR(F.col("flags")).alias("fl")).distinct()
-        found = cut(step.join(seen, ["start", "v", "fl"], "left_anti"))
+        with dealt(spark, size + seen.count()):
+            step = frontier.join(edges, F.col("v") == F.col("src")).select("start", F.col("dst").alias("v"), F.col("fl").bitwiseOR(F.col("flags")).alias("fl")).distinct()
+            found = cut(step.join(seen, ["start", "v", "fl"], "left_anti"))
         frontier = counted(found)
         if frontier is None:
             return seen.groupBy("start", "v").agg(F.bit_or(F.expr("shiftleft(1, fl)")).alias("combos"))
@@ -223,15 +225,17 @@ def flag_sets(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def callers(calls: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, v, dist, conf) of all that call targets(v), nearest first; confidence of the first visit's least path."""
+    spark, size = calls.sparkSession, calls.count()
     seen = cut(targets.select(F.col("v").alias("target"), "v", F.lit(0).alias("dist"), F.lit(0).alias("conf")).distinct())
     frontier, n = counted(seen), 0
     if frontier is None:
         return seen
     while True:
         n += 1
-        step = frontier.join(calls, F.col("v") == F.col("callee")).select("target", F.col("caller").alias("v"), F.greatest("conf", "call_conf").alias("conf"))
-        new = step.groupBy("target", "v").agg(F.min("conf").alias("conf"))
-        found = cut(new.join(seen, ["target", "v"], "left_anti").select("target", "v", F.lit(n).alias("dist"), "conf"))
+        with dealt(spark, size + seen.count()):
+            step = frontier.join(calls, F.col("v") == F.col("callee")).select("target", F.col("caller").alias("v"), F.greatest("conf", "call_conf").alias("conf"))
+            new = step.groupBy("target", "v").agg(F.min("conf").alias("conf"))
+            found = cut(new.join(seen, ["target", "v"], "left_anti").select("target", "v", F.lit(n).alias("dist"), "conf"))
         frontier = counted(found)
         if frontier is None:
             return seen.filter("dist > 0")

@@ -191,7 +191,7 @@ SELECT s AS start, v, bit_or(1 << fl) AS combos FROM h GROUP BY s, v""",
 )
 def flag_reach(spark, d):
     starts = table(spark, d, "customer").select(_gid("customer", "c_custkey").alias("start"), _gid("customer", "c_custkey").alias("v"))
-    steps = cut(edges(spark, d).filter(F.col("kind").isin(1, 2)).select("src", "dst", "flags").distinct())
+    steps = cut(edges(spark, d).filter(F.col("kind").isin(1, 2)).select("src", "dst", "flags"))
     return graph.flag_sets(steps, starts)
 
 
