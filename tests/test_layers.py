@@ -76,3 +76,12 @@ def test_more_rows_are_dealt_to_more_tasks(spark, written, monkeypatch):
     graph.callers(calls.filter("caller < 60").repartition(1), spark.createDataFrame([(2,)], "v long")).collect()
     assert max(p for _, p in written) >= 12
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_terminal_starts_share_rows(spark, written):
+    """Neighbouring starts over a terminal edge that a later edge opens again: a row per node and layer."""
+    edges = spark.createDataFrame([(0, 1, True), (0, 2, False), (2, 1, False), (1, 3, True), (3, 4, False)], "src long, dst long, terminal boolean")
+    seeds = spark.createDataFrame([(s, 0) for s in range(40)], "start long, v long")
+    want = {(s, v, h, t) for s in range(40) for v, h, t in ((0, 0, False), (1, 1, False), (2, 1, False), (3, 3, True))}
+    assert {(r.start, r.v, r.hop, r.terminal) for r in graph.reach(edges, seeds).collect()} == want
+    assert max(n for n, _ in written) <= 5
